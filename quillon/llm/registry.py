@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import packing
+from quillon.llm import packing, pii
 from quillon.runtime import load
 
 
@@ -14,7 +14,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_best_fit_packing]
+def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(load(spark, sf_dir, "documents")))
+
+
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision]
 ORACLES: dict[str, str] = {}
 
 
