@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import packing, pii
+from quillon.llm import packing, pii, secrets
 from quillon.runtime import load
 
 
@@ -18,7 +18,12 @@ def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(load(spark, sf_dir, "documents")))
 
 
-QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision]
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = secrets.scan_versions(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.digest(rows)
+
+
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op9_secret_scan]
 ORACLES: dict[str, str] = {}
 
 
