@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import packing, pii, secrets
+from quillon.llm import packing, pii, secrets, topk, warc
 from quillon.runtime import load
 
 
@@ -18,12 +19,22 @@ def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(load(spark, sf_dir, "documents")))
 
 
+def op6_warc_sharded_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(load(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = secrets.scan_versions(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.digest(rows)
 
 
-QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op9_secret_scan]
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan]
 ORACLES: dict[str, str] = {}
 
 
