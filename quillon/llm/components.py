@@ -69,7 +69,7 @@ def _state(stars: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component_id) for every node with an edge; component_id is the smallest id in reach.
+    """(id, component_id) for every node that reaches a smaller one; component_id is the smallest id in reach.
 
     edges: columns u and v (long), either order, loops and repeats allowed.
     """
