@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import multiindex, packing, pii, secrets, topk, warc
+from quillon.llm import jaccard, multiindex, packing, pii, secrets, topk, warc
 from quillon.runtime import load
 
 
@@ -23,6 +23,10 @@ def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"), jaccard.Rule(k=4, num=85, den=100))
+
+
 def op6_warc_sharded_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(load(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -38,7 +42,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(rows)
 
 
-QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan]
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op5_grouped_prefix_join, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan]
 ORACLES: dict[str, str] = {}
 
 
