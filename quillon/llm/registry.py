@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import jaccard, multiindex, packing, pii, secrets, topk, warc
+from quillon.llm import jaccard, langid, multiindex, packing, pii, secrets, topk, warc
 from quillon.runtime import load
 
 
@@ -42,7 +42,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(rows)
 
 
-QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op5_grouped_prefix_join, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan]
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"))
+    docs = load(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~out))
+    found = langid.identify(docs.select("doc_id", "text"), model, spans=False)
+    return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op5_grouped_prefix_join, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan, op10_language_id]
 ORACLES: dict[str, str] = {}
 
 
