@@ -126,14 +126,14 @@ def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _bloom(ids: DataFrame, count: int) -> np.ndarray:
+def bloom(ids: DataFrame, count: int) -> np.ndarray:
     """A bloom filter of the ids: two bits each, at most BLOOM_BITS; a fuller one only lets more rows pass."""
     bits = min(BLOOM_BITS, 1 << max(10, (16 * count).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits, dtype=bool)
         for batch in batches:
-            for at in _places(batch.column("id").to_numpy(), bits):
+            for at in places(batch.column("id").to_numpy(), bits):
                 seen[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
@@ -143,7 +143,7 @@ def _bloom(ids: DataFrame, count: int) -> np.ndarray:
     return np.unpackbits(whole).astype(bool)
 
 
-def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.astype(np.int64).view(U64))
     return h & U64(bits - 1), (h >> U64(32)) & U64(bits - 1)
 
@@ -151,12 +151,12 @@ def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, text) of the documents in ids (distinct, written)."""
     count = ids.count()
-    filter_ = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(ids, count)))
+    filter_ = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom(ids, count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(filter_.value).astype(bool)
         for batch in batches:
-            one, two = _places(batch.column("id").to_numpy(), len(seen))
+            one, two = places(batch.column("id").to_numpy(), len(seen))
             yield batch.filter(pa.array(seen[one] & seen[two]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")

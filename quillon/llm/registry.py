@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import jaccard, langid, multiindex, packing, pii, secrets, topk, warc
+from quillon.llm import jaccard, langid, multiindex, packing, pii, secrets, substring, topk, warc
 from quillon.runtime import load
 
 
@@ -23,6 +23,10 @@ def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op4_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(load(spark, sf_dir, "documents"), texts=False)
+
+
 def op5_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"), jaccard.Rule(k=4, num=85, den=100))
 
@@ -50,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op5_grouped_prefix_join, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan, op10_language_id]
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op4_fixed_block_anchors, op5_grouped_prefix_join, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan, op10_language_id]
 ORACLES: dict[str, str] = {}
 
 
