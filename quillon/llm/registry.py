@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillon.llm import jaccard, langid, multiindex, packing, pii, secrets, substring, topk, warc
 from quillon.runtime import load
 
@@ -60,7 +61,7 @@ ORACLES: dict[str, str] = {}
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Operators of the list, in order."""
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
