@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import jaccard, langid, multiindex, packing, pii, secrets, substring, topk, warc
+from quillon.llm import jaccard, langid, multiindex, packing, pieces, pii, secrets, substring, topk, warc
 from quillon.runtime import load
 
 
@@ -38,6 +38,10 @@ def op6_warc_sharded_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(load(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -55,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op4_fixed_block_anchors, op5_grouped_prefix_join, op6_warc_sharded_writer, op8_exact_top_k, op9_secret_scan, op10_language_id]
+QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op4_fixed_block_anchors, op5_grouped_prefix_join, op6_warc_sharded_writer, op7_suffix_array_pieces, op8_exact_top_k, op9_secret_scan, op10_language_id]
 ORACLES: dict[str, str] = {}
 
 
