@@ -1,15 +1,545 @@
-"""Named queries over the test tables, and the SQL each must agree with."""
+"""Named queries over the test tables, and the SQL each must agree with.
+
+Each query is an operator of the library with fixed arguments over a whole table; its SQL says the same in DuckDB's words.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import charsets, pos
+from quillon.functions import text as T
+from quillon.operators import kv, morphology, patterns, sets
+from quillon.operators import postings as P
+from quillon.plans import search
+from quillon.runtime import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- the version log: events, keyed by user, deleted by errors -----------------------------------------------------------
+
+_LOG = "log AS (SELECT user_id AS key, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS op, value FROM events)"
+
+
+def _newest(where: str = "true") -> str:
+    return f"WITH {_LOG}, newest AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(seq) AS seq FROM log WHERE {where} GROUP BY key) "
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"),
+        (F.col("event_id") + 1).alias("seq"),
+        F.when(F.col("event_type") == "error", kv.DELETE).otherwise(kv.PUT).alias("op"),
+        "value",
+    )
+
+
+@_query(_newest() + "SELECT key, value FROM newest WHERE op = 0")
+def kv_latest(spark, sf_dir):
+    return kv.scan(_log(spark, sf_dir))
+
+
+@_query(_newest("seq <= 7000") + "SELECT key, value FROM newest WHERE op = 0")
+def kv_snapshot(spark, sf_dir):
+    return kv.scan(_log(spark, sf_dir), snapshot=7000)
+
+
+@_query(_newest("key = 42") + "SELECT key, value FROM newest WHERE op = 0")
+def kv_get(spark, sf_dir):
+    return kv.get(_log(spark, sf_dir), 42)
+
+
+@_query(_newest("key = 42 AND seq <= 5000") + "SELECT key, value FROM newest WHERE op = 0")
+def kv_get_snapshot(spark, sf_dir):
+    return kv.get(_log(spark, sf_dir), 42, snapshot=5000)
+
+
+@_query(_newest("key >= 20 AND key < 90") + "SELECT key, value FROM newest WHERE op = 0")
+def kv_range_scan(spark, sf_dir):
+    return kv.scan(_log(spark, sf_dir), 20, 90)
+
+
+@_query(_newest("key >= 20 AND key < 90 AND seq <= 3000") + "SELECT key, value FROM newest WHERE op = 0")
+def kv_range_scan_snapshot(spark, sf_dir):
+    return kv.scan(_log(spark, sf_dir), 20, 90, snapshot=3000)
+
+
+@_query(f"WITH {_LOG} SELECT coalesce(max(seq), 0) AS seq FROM log")
+def kv_current_seq(spark, sf_dir):
+    return kv.current_sequence(_log(spark, sf_dir))
+
+
+@_query(
+    _newest("seq <= 9000")
+    + ", wanted AS (SELECT unnest(range(0, 400, 3)) AS key) SELECT w.key, CASE WHEN n.op IS NULL THEN 'not_found' WHEN n.op = 1 THEN 'deleted' ELSE 'found' END AS state, "
+    "CASE WHEN n.op = 0 THEN n.value END AS value FROM wanted w LEFT JOIN newest n USING (key)"
+)
+def kv_get_state(spark, sf_dir):
+    keys = spark.range(0, 400, 3).withColumnRenamed("id", "key")
+    return kv.state(_log(spark, sf_dir), keys, snapshot=9000)
+
+
+@_query(_newest("key >= 77") + "SELECT key, value FROM newest WHERE op = 0 ORDER BY key LIMIT 1")
+def kv_lower_bound(spark, sf_dir):
+    return kv.lower_bound(_log(spark, sf_dir), 77)
+
+
+@_query(_newest("key > 77") + "SELECT key, value FROM newest WHERE op = 0 ORDER BY key LIMIT 1")
+def kv_upper_bound(spark, sf_dir):
+    return kv.upper_bound(_log(spark, sf_dir), 77)
+
+
+@_query(f"WITH {_LOG} SELECT key, seq, op, value FROM log")
+def kv_versions(spark, sf_dir):
+    return kv.versions(_log(spark, sf_dir))
+
+
+@_query(
+    f"WITH {_LOG}, more AS (SELECT user_id AS key, event_id + 1000001 AS seq, 0 AS op, value + 1 AS value FROM events WHERE event_type = 'purchase'), "
+    "gone AS (SELECT DISTINCT user_id AS key, 9000000 + user_id AS seq, 1 AS op, NULL::DOUBLE AS value FROM events WHERE user_id % 7 = 0), "
+    "whole AS (FROM log UNION ALL FROM more UNION ALL FROM gone), newest AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM whole GROUP BY key) "
+    "SELECT key, value FROM newest WHERE op = 0"
+)
+def kv_put_delete(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    bought = events.filter("event_type = 'purchase'").select(
+        F.col("user_id").alias("key"), (F.col("event_id") + 1000001).alias("seq"), (F.col("value") + 1).alias("value")
+    )
+    gone = events.filter("user_id % 7 = 0").select(F.col("user_id").alias("key"), (F.col("user_id") + 9000000).alias("seq")).distinct()
+    return kv.scan(kv.delete(kv.put(_log(spark, sf_dir), bought), gone))
+
+
+@_query(
+    f"WITH {_LOG} SELECT key, seq, op, value FROM log WHERE op = 0 UNION ALL SELECT key, seq, op, value FROM log WHERE op = 1 UNION ALL SELECT key, seq, op, value FROM log WHERE seq <= 500"
+)
+def kv_merge_sorted(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return kv.merge_sorted(log.filter("op = 0"), log.filter("op = 1"), log.filter("seq <= 500"), by=["key", F.desc("seq")])
+
+
+@_query(f"WITH {_LOG} SELECT key, seq, op, value FROM log ORDER BY key, seq DESC LIMIT 100")
+def kv_merge_pull(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return kv.merge_sorted(log.filter("op = 0"), log.filter("op = 1"), by=["key", F.desc("seq")], limit=100)
+
+
+@_query(f"WITH {_LOG} SELECT CAST(sum(length(CAST(key AS VARCHAR)) + 9 + length(CAST(op AS VARCHAR))) AS BIGINT) AS bytes, count(*) AS versions FROM log")
+def kv_memory_usage(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return kv.memory_usage(log.withColumn("value", F.col("op")))
+
+
+_TABLES = (
+    f"WITH {_LOG}, keys AS (SELECT key, sum(length(CAST(key AS VARCHAR)) + length(CAST(op AS VARCHAR)) + 9) AS bytes, count(*) AS versions FROM log GROUP BY key), "
+    "cut AS (SELECT *, CAST(floor(coalesce(sum(bytes) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4096) AS BIGINT) AS table_no FROM keys), "
+    "tables AS (SELECT table_no, min(key) AS min_key, max(key) AS max_key, CAST(sum(versions) AS BIGINT) AS versions, CAST(sum(bytes) AS BIGINT) AS bytes FROM cut GROUP BY table_no) "
+)
+
+
+@_query(
+    _TABLES
+    + ", levels AS (SELECT l AS level, CAST(2 * (pow(2, l) - 1) - l AS BIGINT) AS low, CAST(2 * (pow(2, l + 1) - 1) - l - 1 AS BIGINT) AS high FROM range(0, 30) t(l)) "
+    "SELECT CAST(level AS INTEGER) AS level, table_no, min_key, max_key, versions, bytes FROM tables JOIN levels ON table_no >= low AND table_no < high"
+)
+def kv_level_layout(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("value", F.col("op"))
+    return kv.level_layout(log, kv.Levels("leveled", max_table_bytes=4096))
+
+
+@_query(_TABLES + "SELECT table_no, min_key, max_key, versions, bytes FROM tables WHERE min_key <= 60 AND max_key >= 40")
+def kv_overlap(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("value", F.col("op"))
+    return kv.overlapping(kv.tables(log, 4096), 40, 60)
+
+
+# --- words, dictionary, postings -----------------------------------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all(lower(text), '(\p{L}+)', 1)"
+_POST = f"post AS (SELECT DISTINCT doc_id, '^' || w || '$' AS token FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents))"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _index(spark: SparkSession, sf_dir: str, **more) -> search.Index:
+    return search.Index.build(_docs(spark, sf_dir), **more)
+
+
+@_query(f"SELECT doc_id, CAST(p - 1 AS INTEGER) AS position, w[p] AS word FROM (SELECT doc_id, {_WORDS} AS w FROM documents), range(1, 100000) r(p) WHERE p <= len(w)")
+def doc_words(spark, sf_dir):
+    return P.doc_words(_docs(spark, sf_dir))
+
+
+@_query(f"WITH {_POST} SELECT token, row_number() OVER (ORDER BY token) - 1 AS feature_id FROM (SELECT DISTINCT token FROM post)")
+def word_dictionary(spark, sf_dir):
+    return P.dictionary(P.postings(_docs(spark, sf_dir)))
+
+
+@_query(f"WITH {_POST} SELECT token, doc_id FROM post")
+def postings(spark, sf_dir):
+    return P.postings(_docs(spark, sf_dir))
+
+
+@_query(
+    f"WITH {_POST}, dict AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS feature_id FROM (SELECT DISTINCT token FROM post)) "
+    "SELECT feature_id, doc_id // 128 AS block_id, CAST(doc_id % 128 AS INTEGER) AS place FROM post JOIN dict USING (token)"
+)
+def doc_blocks(spark, sf_dir):
+    rows = P.postings(_docs(spark, sf_dir))
+    return P.encoded(rows, P.dictionary(rows), P.IndexConfig(block=128))
+
+
+@_query(
+    f"WITH w AS (SELECT DISTINCT doc_id, '^' || unnest({_WORDS}) || '$' AS s FROM documents) "
+    "SELECT DISTINCT substr(s, CAST(i AS BIGINT), CAST(k AS BIGINT)) AS token, doc_id FROM w, range(3, 5) a(k), range(1, 200) b(i) WHERE i + k - 1 <= length(s)"
+)
+def kgrams(spark, sf_dir):
+    return P.postings(_docs(spark, sf_dir), config=P.IndexConfig(kgram=4))
+
+
+@_query(f"WITH {_POST} SELECT doc_id FROM post WHERE token = '^the$'")
+def index_get(spark, sf_dir):
+    return P.docs_of(P.postings(_docs(spark, sf_dir)), "^the$")
+
+
+@_query(f"WITH {_POST} SELECT DISTINCT doc_id FROM post WHERE token >= '^er' AND token < '^es'")
+def index_scan(spark, sf_dir):
+    return P.docs_between(P.postings(_docs(spark, sf_dir)), "^er", "^es")
+
+
+# --- search --------------------------------------------------------------------------------------------------------------
+
+
+def _has(word: str) -> str:
+    return f"SELECT doc_id FROM post WHERE token = '^{word}$'"
+
+
+_SEARCHES = {
+    "search_term": ("the", _has("the")),
+    "search_and": ("( the & and & of )", " INTERSECT ".join(map(_has, ("the", "and", "of")))),
+    "search_or": ("( le | der | los )", " UNION ".join(map(_has, ("le", "der", "los")))),
+    "search_not": ("( ! the )", f"SELECT doc_id FROM documents EXCEPT {_has('the')}"),
+    "search_nested": ("( ( le | der ) & ( ! the ) )", f"({_has('le')} UNION {_has('der')}) EXCEPT {_has('the')}"),
+    "search_prefix": ("thatt*", "SELECT DISTINCT doc_id FROM post WHERE starts_with(token, '^thatt')"),
+    "search_unknown": ("( the & qqqq )", "SELECT doc_id FROM post WHERE false"),
+}
+for _name, (_text, _answer) in _SEARCHES.items():
+    _query(f"WITH {_POST} SELECT doc_id FROM ({_answer})", _name)(lambda spark, sf_dir, q=_text: _index(spark, sf_dir).search(q))
+
+
+@_query(f"WITH {_POST} SELECT DISTINCT doc_id FROM post WHERE token >= '^thatt' AND token < '^thatя'")
+def search_prefix_range(spark, sf_dir):
+    return _index(spark, sf_dir, prefix_mode="range").search("thatt*")
+
+
+@_query(f"WITH {_POST} {_has('and')} INTERSECT {_has('inea')}")
+def search_stopword(spark, sf_dir):
+    profile = P.Profile(stop_words=frozenset({"the", "of"}))
+    return _index(spark, sf_dir, profile=profile).search("( the & and & inea & of )")
+
+
+@_query(
+    rf"WITH w AS (SELECT DISTINCT doc_id, '^' || unnest({_WORDS}) || '$' AS s FROM documents) "
+    "SELECT doc_id FROM w WHERE contains(s, '^the') INTERSECT SELECT doc_id FROM w WHERE contains(s, 'ion$')"
+)
+def search_wildcard(spark, sf_dir):
+    return _index(spark, sf_dir, config=P.IndexConfig(kgram=4)).search("the*ion")
+
+
+# --- dates: orders are documents, created when ordered, deleted when the last line of a finished order ships ---------------
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> search.Index:
+    orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    created = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit("creation_date").alias("name"), F.col("o_orderdate").cast("date").alias("date"))
+    done = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
+    shipped = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_shipdate").cast("date").alias("date"))
+    deleted = shipped.join(done, "doc_id").select("doc_id", F.lit("deletion_date").alias("name"), "date")
+    empty = spark.createDataFrame([], "token string, doc_id long")
+    return search.Index(empty, orders.select(F.col("o_orderkey").alias("doc_id")), created.unionByName(deleted))
+
+
+_DATES = (
+    "WITH d AS (SELECT o.o_orderkey AS doc_id, CAST(o.o_orderdate AS DATE) AS created, CASE WHEN o.o_orderstatus = 'F' THEN CAST(s.last AS DATE) END AS deleted "
+    "FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1) s ON o.o_orderkey = s.l_orderkey) SELECT doc_id FROM d WHERE "
+)
+_DATE_QUERIES = {
+    "date_range_closed": ("{ 1996-01-01 $creation_date 1996-12-31 }", "created BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"),
+    "date_left_open": ("{ * $deletion_date 1997-06-30 }", "deleted <= DATE '1997-06-30'"),
+    "date_right_open": ("{ 1998-01-01 $deletion_date * }", "deleted >= DATE '1998-01-01' OR deleted IS NULL"),
+    "date_inverted": ("{ 1998-01-01 $creation_date 1997-01-01 }", "false"),
+    "alive_interval": ("[ 1996-06-01 : 1998-06-01 ]", "created <= DATE '1996-06-01' AND (deleted >= DATE '1998-06-01' OR deleted IS NULL)"),
+    "date_mixed": (
+        "( { 1996-01-01 $creation_date * } & ( ! { * $deletion_date 1998-01-01 } ) )",
+        "(created >= DATE '1996-01-01' OR created IS NULL) AND NOT coalesce(deleted <= DATE '1998-01-01', false)",
+    ),
+}
+for _name, (_text, _where) in _DATE_QUERIES.items():
+    _query(_DATES + _where, _name)(lambda spark, sf_dir, q=_text: _dated(spark, sf_dir).search(q))
+
+
+@_query(
+    "WITH d AS (SELECT o_orderkey AS doc_id, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))::BIGINT * 86400000000000 AS v FROM orders) "
+    "SELECT doc_id, 'creation_date' || lpad(CAST(i AS VARCHAR), 2, '0') AS token FROM d, range(0, 63) r(i) WHERE (v >> i::INTEGER) & 1 = 1 UNION ALL SELECT doc_id, 'creation_date64' FROM d"
+)
+def date_bit_slices(spark, sf_dir):
+    index = _dated(spark, sf_dir)
+    return P.date_bits(index.attrs.filter("name = 'creation_date'"))
+
+
+# --- sets of documents ---------------------------------------------------------------------------------------------------
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = P.postings(_docs(spark, sf_dir))
+    return P.docs_of(rows, "^the$"), P.docs_of(rows, "^inea$")
+
+
+_SETS = {
+    "set_and": (sets.intersect, f"{_has('the')} INTERSECT {_has('inea')}"),
+    "set_or": (sets.union, f"{_has('the')} UNION {_has('inea')}"),
+    "set_andnot": (sets.andnot, f"{_has('the')} EXCEPT {_has('inea')}"),
+    "set_xor": (sets.xor, f"({_has('the')} UNION {_has('inea')}) EXCEPT ({_has('the')} INTERSECT {_has('inea')})"),
+    "set_flip": (lambda a, b: sets.flip(a, 100, 300), f"(SELECT doc_id FROM ({_has('the')}) WHERE doc_id < 100 OR doc_id >= 300) UNION (SELECT range AS doc_id FROM range(100, 300) EXCEPT {_has('the')})"),
+    "set_remove_range": (lambda a, b: sets.remove_range(a, 50, 200, closed=True), f"SELECT doc_id FROM ({_has('the')}) WHERE doc_id NOT BETWEEN 50 AND 200"),
+    "set_select": (lambda a, b: sets.select(a, 17), f"{_has('the')} ORDER BY doc_id LIMIT 1 OFFSET 17"),
+    "set_page": (lambda a, b: sets.page(a, 10, 25), f"{_has('the')} ORDER BY doc_id LIMIT 25 OFFSET 10"),
+    "set_seek": (lambda a, b: sets.seek(a, 400), f"SELECT doc_id FROM ({_has('the')}) WHERE doc_id >= 400"),
+    "set_unpacked": (lambda a, b: sets.unpacked(sets.packed(a)), _has("the")),
+    "bitmap_and": (lambda a, b: sets.unpacked(sets.packed_intersect(sets.packed(a), sets.packed(b))), f"{_has('the')} INTERSECT {_has('inea')}"),
+    "bitmap_or": (lambda a, b: sets.unpacked(sets.packed_union(sets.packed(a).unionByName(sets.packed(b)))), f"{_has('the')} UNION {_has('inea')}"),
+}
+for _name, (_f, _answer) in _SETS.items():
+    _query(f"WITH {_POST} SELECT doc_id FROM ({_answer})", _name)(lambda spark, sf_dir, f=_f: f(*_pair(spark, sf_dir)))
+
+
+@_query(f"WITH {_POST}, s AS ({_has('the')}) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM s")
+def set_ranked(spark, sf_dir):
+    return sets.ranked(_pair(spark, sf_dir)[0], block=64)
+
+
+@_query(f"WITH {_POST}, s AS ({_has('the')}) SELECT count(*) AS rank, CAST(CASE WHEN max(doc_id) = 333 THEN count(*) - 1 ELSE -1 END AS BIGINT) AS index FROM s WHERE doc_id <= 333")
+def set_rank(spark, sf_dir):
+    return sets.rank(_pair(spark, sf_dir)[0], 333)
+
+
+@_query(f"WITH {_POST}, s AS ({_has('the')}) SELECT count(*) AS cardinality, min(doc_id) AS minimum, max(doc_id) AS maximum FROM s")
+def set_measures(spark, sf_dir):
+    return sets.measures(_pair(spark, sf_dir)[0])
+
+
+@_query(
+    f"WITH {_POST}, a AS ({_has('the')}), b AS ({_has('inea')}), n AS (SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS i, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb) "
+    "SELECT i AS n_and, na + nb - i AS n_or, na - i AS n_andnot, na + nb - 2 * i AS n_xor, i / (na + nb - i)::DOUBLE AS jaccard, i > 0 AS intersects, na = i AS subset, na = i AND nb > i AS strict_subset, na = i AND nb = i AS equal FROM n"
+)
+def set_jaccard(spark, sf_dir):
+    return sets.pair_measures(*_pair(spark, sf_dir))
+
+
+@_query(f"WITH {_POST}, s AS ({_has('the')}) SELECT doc_id, doc_id IN (SELECT doc_id FROM s) AS inside FROM (SELECT range * 7 AS doc_id FROM range(0, 60))")
+def set_contains(spark, sf_dir):
+    return sets.contains(_pair(spark, sf_dir)[0], spark.range(0, 420, 7).withColumnRenamed("id", "doc_id"))
+
+
+@_query(f"WITH {_POST} SELECT token, count(*) AS cardinality FROM post GROUP BY token")
+def bitmap_cardinality(spark, sf_dir):
+    return sets.packed_count(sets.packed(P.postings(_docs(spark, sf_dir)), "token"), "token")
+
+
+# --- text scalars --------------------------------------------------------------------------------------------------------
+
+
+@_query(
+    "WITH s AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents), each AS (SELECT doc_id, unnest(c) AS symbol FROM s) "
+    "SELECT doc_id, symbol, count(*) AS n, ord(symbol) AS code FROM each GROUP BY doc_id, symbol"
+)
+def symbol_counts(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(T.symbols(F.col("text"))).alias("symbol"))
+    return rows.groupBy("doc_id", "symbol").agg(F.count("*").alias("n"), F.first(F.ascii("symbol")).alias("code"))
+
+
+@_query(
+    r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(\p{L}+)', 1)) AS word FROM documents) "
+    "SELECT word, CAST(i AS INTEGER) AS start, substr(word, i, k) AS gram FROM w, range(1, 200) a(i), range(2, 4) b(k) WHERE i + k - 1 <= length(word)"
+)
+def ngrams_symbols(spark, sf_dir):
+    found = _docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    grams = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.length("word")),
+            lambda i: F.transform(T.ngrams(T.symbols(F.substring(F.col("word"), i, F.lit(3))), 2, 3), lambda g: F.struct(i.alias("start"), g.alias("gram"))),
+        )
+    )
+    rows = found.select("word", F.explode(grams).alias("g")).select("word", "g.*")
+    return rows.distinct().filter(F.expr("substring(word, start, length(gram)) = gram"))
+
+
+@_query(r"SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[^\p{L}\p{Z}]', '', 'g'), '\p{Z}+', ' ', 'g')) AS clean FROM documents")
+def alpha_filter(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.alpha_filter(F.col("text")).alias("clean"))
+
+
+@_query(
+    r"WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS symbol FROM documents) SELECT symbol, "
+    + ", ".join(rf"regexp_full_match(symbol, '{g.replace('IsHan', 'Han')}') AS is_{n}" for n, g in T.GROUPS.items() if n != "other")
+    + r", CASE "
+    + " ".join(rf"WHEN regexp_full_match(symbol, '\p{{{c}}}') THEN '{c}'" for c in T.CATEGORIES if c not in ("Cn", "Cs"))
+    + " END AS class, lower(symbol) AS low FROM s"
+)
+def symbol_classes(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.explode(T.symbols(F.col("text"))).alias("symbol")).distinct()
+    groups = [T.is_group(F.col("symbol"), n).alias(f"is_{n}") for n in T.GROUPS if n != "other"]
+    return rows.select("symbol", *groups, T.symbol_class(F.col("symbol")).alias("class"), T.lower_symbol(F.col("symbol")).alias("low"))
+
+
+@_query(
+    "WITH s AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents), e AS (SELECT doc_id, p, c[p] AS ch FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS p FROM s)) "
+    "SELECT doc_id, max(p) AS symbols, CAST(sum(strlen(ch)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN strlen(ch) > 1 THEN pl END) AS BIGINT) AS place_sum FROM "
+    "(SELECT *, coalesce(sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pl FROM e) GROUP BY doc_id"
+)
+def utf8_positions(spark, sf_dir):
+    symbols = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.symbols(F.col("text"))).alias("p", "ch"))
+    sized = symbols.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", F.octet_length("ch").alias("n")))).alias("c"))
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit(None).cast("long").alias("sum"))
+    step = lambda s, c: F.struct((s["at"] + c["n"]).alias("at"), F.when(c["n"] > 1, F.coalesce(s["sum"], F.lit(0)) + s["at"]).otherwise(s["sum"]).alias("sum"))
+    rows = sized.withColumn("f", F.aggregate("c", start, step))
+    return rows.select("doc_id", F.size("c").cast("long").alias("symbols"), (F.col("f.at") - 1).alias("bytes"), F.col("f.sum").alias("place_sum"))
+
+
+@_query("SELECT doc_id, text AS again FROM documents")
+def utf8_round_trip(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.from_code_points(T.code_points(F.col("text"))).alias("again"))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'Привет')" for c in ("cp1251", "cp866", "koi8-r", "koi8-ru", "koi8-u", "mac-cyrillic", "mac-ukraine")) + ") t(charset, text)")
+def decode_charsets(spark, sf_dir):
+    out = None
+    for c in ("cp1251", "cp866", "koi8-r", "koi8-ru", "koi8-u", "mac-cyrillic", "mac-ukraine"):
+        page = charsets.table(c)
+        data = bytearray(page.index(x) for x in "Привет")
+        row = spark.createDataFrame([(c, data)], "charset string, data binary").select("charset", charsets.decode(F.col("data"), c).alias("text"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- patterns ------------------------------------------------------------------------------------------------------------
+
+_PATTERNS = [(1, "the"), (2, "then"), (3, "ther"), (4, "he"), (5, "ion"), (6, "nation"), (7, "tion th")]
+_PATTERN_SQL = "pats(id, pattern) AS (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in _PATTERNS) + ")"
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_PATTERNS, "id long, pattern string")
+
+
+@_query(
+    f"WITH {_PATTERN_SQL}, hits AS (SELECT doc_id, text, id, pattern, unnest(range(1, length(text) - length(pattern) + 2)) AS i FROM documents, pats WHERE contains(text, pattern)) "
+    "SELECT doc_id, CAST(id AS BIGINT) AS id, i + length(pattern) - 1 AS \"end\" FROM hits WHERE substr(text, i, length(pattern)) = pattern"
+)
+def ac_matches(spark, sf_dir):
+    return patterns.occurrences(_docs(spark, sf_dir), _patterns(spark), key="doc_id")
+
+
+@_query(f"WITH {_PATTERN_SQL}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\p{{L}}+)', 1)) AS word FROM documents) SELECT doc_id, word, CAST(id AS BIGINT) AS id FROM w JOIN pats ON word = pattern")
+def trie_exact(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    return patterns.lookup(rows, _patterns(spark)).select("doc_id", "word", "id")
+
+
+@_query(
+    f"WITH {_PATTERN_SQL}, c AS (SELECT id, pattern, n FROM pats, range(1, 20) r(n) WHERE n <= length(pattern)) "
+    "SELECT substr(pattern, 1, n - 1) AS state, substr(pattern, n, 1) AS symbol, substr(pattern, 1, n) AS next_state, max(CASE WHEN n = length(pattern) THEN id END)::BIGINT AS id FROM c GROUP BY ALL"
+)
+def trie_table(spark, sf_dir):
+    return patterns.prefixes(_patterns(spark)).select("state", "symbol", "next_state", F.get("ids", F.lit(0)).alias("id"))
+
+
+@_query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'th(er|e|at)+ion')")
+def regular_union(spark, sf_dir):
+    return _docs(spark, sf_dir).filter(F.col("text").rlike("th(er|e|at)+ion")).select("doc_id")
+
+
+# --- morphology on a small dictionary --------------------------------------------------------------------------------------
+
+_BASES = [(1, 0, "мам", "мама"), (2, 1, "рам", "рама"), (3, 2, "", "и"), (4, 0, "ма", "маа")]
+_SUFFIXES = [(0, 0, "а", 1), (0, 1, "ой", 2), (0, 2, "а", 3), (1, 0, "у", 513), (1, 1, "а", 545), (2, 0, "и", 14), (0, 3, "ма", 4)]
+_MORPH_SQL = (
+    "bases(lem_id, line_id, base, main_form) AS (VALUES " + ", ".join(map(str, _BASES)) + "), suffixes(line_id, ord, suffix, attr) AS (VALUES " + ", ".join(map(str, _SUFFIXES)) + "), "
+    "found AS (SELECT base || suffix AS word, lem_id, attr, length(base) AS base_len, ord, main_form FROM bases JOIN suffixes USING (line_id)) "
+)
+_MORPH_WORDS = ["мама", "мамой", "раму", "и", "окно", "мамаx"]
+
+
+def _morph(spark: SparkSession) -> morphology.Dictionary:
+    return morphology.dictionary(spark, "ru", _BASES, _SUFFIXES)
+
+
+def _word_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in _MORPH_WORDS], "word string")
+
+
+@_query(f"WITH {_MORPH_SQL} SELECT word, lem_id, attr FROM found WHERE word IN ({', '.join(repr(w) for w in _MORPH_WORDS)})")
+def morph_analyze(spark, sf_dir):
+    return morphology.analyze(_word_list(spark), _morph(spark)).select("word", "lem_id", "attr")
+
+
+@_query(f"WITH {_MORPH_SQL} SELECT DISTINCT lem_id, word AS form FROM found")
+def morph_forms(spark, sf_dir):
+    ids = spark.createDataFrame([(b[0],) for b in _BASES], "lem_id int")
+    return morphology.all_forms(ids, _morph(spark)).select("lem_id", F.explode("forms").alias("form"))
+
+
+@_query(
+    f"WITH {_MORPH_SQL}, words AS (SELECT unnest({_MORPH_WORDS}) AS word), one AS (SELECT word, arg_min(attr & 31, base_len * 1000000 + lem_id * 1000 + ord) AS tag FROM found GROUP BY word) "
+    "SELECT w.word, coalesce(f.main_form, w.word) AS main_form FROM words w LEFT JOIN one USING (word) LEFT JOIN found f ON f.word = w.word WHERE coalesce(tag, 0) <= 12"
+)
+def morph_main_form(spark, sf_dir):
+    return morphology.main_forms(_word_list(spark), _morph(spark)).select("word", F.explode("forms").alias("main_form"))
+
+
+@_query(f"WITH {_MORPH_SQL}, ask AS (SELECT lem_id, attr FROM (SELECT DISTINCT lem_id FROM bases), (SELECT DISTINCT attr FROM suffixes)) SELECT a.lem_id, a.attr, coalesce(min(f.word), '') AS form FROM ask a LEFT JOIN found f ON a.lem_id = f.lem_id AND a.attr = f.attr GROUP BY a.lem_id, a.attr")
+def morph_generate(spark, sf_dir):
+    ask = spark.createDataFrame([(b, s) for b in sorted({b[0] for b in _BASES}) for s in sorted({s[3] for s in _SUFFIXES})], "lem_id int, attr int")
+    return morphology.generate(ask, _morph(spark))
+
+
+@_query("WITH a AS (SELECT CAST(l_orderkey * 31 % 65536 AS INTEGER) AS attr FROM lineitem GROUP BY 1) SELECT attr, attr & 31 AS tag_code, CASE WHEN attr & 31 = 1 THEN (attr >> 5) & 3 END AS noun_number, CASE WHEN attr & 31 = 1 THEN (attr >> 12) & 15 END AS noun_case FROM a")
+def pos_decode(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 31 % 65536).cast("int").alias("attr")).distinct()
+    got = rows.withColumn("p", pos.decode(F.col("attr"), pos.RUSSIAN))
+    noun = lambda f: F.when(F.col("p.tag") == "noun", F.col(f"p.{f}"))
+    return got.select("attr", F.col("attr").bitwiseAND(31).alias("tag_code"), noun("number").alias("noun_number"), noun("case").alias("noun_case"))
+
+
+@_query()
+def pos_describe(spark, sf_dir):
+    rows = spark.createDataFrame([(lang, pos.pack(rules, t)) for lang, rules in pos.LANGUAGES.items() for t in rules.tags], "language string, attr int")
+    return rows.select("language", "attr", F.when(F.col("language") == "ru", pos.describe(F.col("attr"), pos.RUSSIAN)).otherwise(pos.describe(F.col("attr"), pos.ENGLISH)).alias("description"))
+
+
