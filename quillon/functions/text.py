@@ -59,22 +59,6 @@ def from_code_points(codes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(codes, octets), "")), "UTF-8")
 
 
-def utf8_positions(text: Column) -> Column:
-    """Per symbol: its 1-based place, the 1-based byte it starts at, its byte length and code point."""
-    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<position:int,byte_position:int,size:int,code:int>>").alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        row = F.struct(
-            (F.size(s["out"]) + 1).alias("position"),
-            s["at"].alias("byte_position"),
-            F.octet_length(c).alias("size"),
-            F.ascii(c).alias("code"),
-        )
-        return F.struct((s["at"] + F.octet_length(c)).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(symbols(text), state, step, lambda s: s["out"])
-
-
 def ngrams(items: Column, low: int, high: int) -> Column:
     """All runs of low to high items, by start, then length; joined to strings."""
     if low < 1 or low > high:

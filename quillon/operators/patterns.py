@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: An automaton is sent to executors only for pattern tables up to this many symbols; larger ones are joined.
@@ -48,23 +48,15 @@ def occurrences(texts: DataFrame, patterns: DataFrame, key: str = "text_id") ->
 def joined(texts: DataFrame, patterns: DataFrame, key: str = "text_id") -> DataFrame:
     """Occurrences by an equi-join of patterns with all windows of their lengths."""
     lengths = sorted(r[0] for r in patterns.select(F.length("pattern")).distinct().collect())
-    windows = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.length("text") >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))),
-                        lambda i, n=n: F.struct((i + n - 1).alias("end"), F.substring(F.col("text"), i, n).alias("pattern")),
-                    ),
-                ).otherwise(F.array().cast("array<struct<end:int,pattern:string>>"))
-                for n in lengths
-            ]
-        )
-    )
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
+        rows = F.transform(starts, lambda i: F.struct((i + n - 1).alias("end"), F.substring(F.col("text"), i, n).alias("pattern")))
+        return F.when(F.length("text") >= n, rows).otherwise(F.array().cast("array<struct<end:int,pattern:string>>"))
+
     if not lengths:
         return texts.select(key, F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("end")).limit(0)
-    rows = texts.filter("text is not null").select(key, F.explode(windows).alias("w")).select(key, "w.*")
+    rows = texts.filter("text is not null").select(key, F.explode(F.flatten(F.array(*map(of_length, lengths)))).alias("w")).select(key, "w.*")
     return rows.join(patterns, "pattern").select(key, "id", F.col("end").cast("long").alias("end"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import charsets, pos
 from quillon.functions import text as T
-from quillon.operators import kv, morphology, patterns, sets
+from quillon.operators import kv, morphology, patterns, sets, symbols
 from quillon.operators import postings as P
 from quillon.plans import search
 from quillon.runtime import load
@@ -386,18 +386,12 @@ def symbol_counts(spark, sf_dir):
 
 @_query(
     r"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(\p{L}+)', 1)) AS word FROM documents) "
-    "SELECT word, CAST(i AS INTEGER) AS start, substr(word, i, k) AS gram FROM w, range(1, 200) a(i), range(2, 4) b(k) WHERE i + k - 1 <= length(word)"
+    "SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY i, k) - 1 AS INTEGER) AS position, substr(word, i, k) AS gram "
+    "FROM w, range(1, 200) a(i), range(2, 4) b(k) WHERE i + k - 1 <= length(word)"
 )
 def ngrams_symbols(spark, sf_dir):
     found = _docs(spark, sf_dir).select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("word")),
-            lambda i: F.transform(T.ngrams(T.symbols(F.substring(F.col("word"), i, F.lit(3))), 2, 3), lambda g: F.struct(i.alias("start"), g.alias("gram"))),
-        )
-    )
-    rows = found.select("word", F.explode(grams).alias("g")).select("word", "g.*")
-    return rows.distinct().filter(F.expr("substring(word, start, length(gram)) = gram"))
+    return found.select("word", F.posexplode(T.ngrams(T.symbols(F.col("word")), 2, 3)).alias("position", "gram"))
 
 
 @_query(r"SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[^\p{L}\p{Z}]', '', 'g'), '\p{Z}+', ' ', 'g')) AS clean FROM documents")
@@ -424,12 +418,9 @@ def symbol_classes(spark, sf_dir):
     "(SELECT *, coalesce(sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pl FROM e) GROUP BY doc_id"
 )
 def utf8_positions(spark, sf_dir):
-    symbols = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.symbols(F.col("text"))).alias("p", "ch"))
-    sized = symbols.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", F.octet_length("ch").alias("n")))).alias("c"))
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.lit(None).cast("long").alias("sum"))
-    step = lambda s, c: F.struct((s["at"] + c["n"]).alias("at"), F.when(c["n"] > 1, F.coalesce(s["sum"], F.lit(0)) + s["at"]).otherwise(s["sum"]).alias("sum"))
-    rows = sized.withColumn("f", F.aggregate("c", start, step))
-    return rows.select("doc_id", F.size("c").cast("long").alias("symbols"), (F.col("f.at") - 1).alias("bytes"), F.col("f.sum").alias("place_sum"))
+    rows = symbols.positions(_docs(spark, sf_dir), "doc_id")
+    wide = F.when(F.col("size") > 1, F.col("byte_position"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("size").alias("bytes"), F.sum(wide).alias("place_sum"))
 
 
 @_query("SELECT doc_id, text AS again FROM documents")

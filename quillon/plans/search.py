@@ -158,7 +158,8 @@ def search(index: Index, query: str) -> DataFrame:
         flags = universe if flags is None else universe.join(flags, "doc_id", "left")
     elif flags is None:
         return index.postings.select("doc_id").limit(0)
-    return flags.filter(condition({n: F.coalesce(n, F.lit(False)) for n in names})).select("doc_id")
+    matched = condition({n: F.coalesce(n, F.lit(False)) for n in names})
+    return flags.filter(F.lit(matched) if isinstance(matched, bool) else matched).select("doc_id")
 
 
 def _walk(tree, visit: Callable) -> None:
