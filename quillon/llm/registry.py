@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import jaccard, langid, multiindex, packing, pieces, pii, secrets, substring, topk, warc
+from quillon.llm import jaccard, langid, multiindex, oracles, packing, pieces, pii, secrets, substring, topk, warc
 from quillon.runtime import load
 
 
@@ -60,7 +60,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [op1_best_fit_packing, op2_pii_weak_supervision, op3_inverted_multi_index, op4_fixed_block_anchors, op5_grouped_prefix_join, op6_warc_sharded_writer, op7_suffix_array_pieces, op8_exact_top_k, op9_secret_scan, op10_language_id]
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_inverted_multi_index": oracles.MULTI_INDEX,
+    "op4_fixed_block_anchors": oracles.ANCHORS,
+    "op5_grouped_prefix_join": oracles.PREFIX_JOIN,
+    "op6_warc_sharded_writer": oracles.WARC,
+    "op8_exact_top_k": oracles.TOP_K,
+    "op9_secret_scan": oracles.SECRETS,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
