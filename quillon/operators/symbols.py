@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +12,47 @@ from quillon.functions import text as T
 
 
 def positions(rows: DataFrame, key: str) -> DataFrame:
-    """Per symbol of each text (key, text): its 1-based position, the 1-based byte it starts at, its bytes and code point.
+    """Per symbol of each text (key, text): its position, its last byte's position (both from 1), its bytes and code point.
 
     key tells the texts apart; the running sum stays within a text.
     """
     each = rows.select(key, F.posexplode(T.symbols(F.col("text"))).alias("at", "symbol"))
     sized = each.select(key, (F.col("at") + 1).alias("position"), "symbol", F.octet_length("symbol").alias("size"))
-    before = F.sum("size").over(Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
-    return sized.select(key, "position", "symbol", (F.coalesce(before, F.lit(0)) + 1).alias("byte_position"), "size", F.ascii("symbol").alias("code"))
+    until = F.sum("size").over(Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    return sized.select(key, "position", "symbol", until.alias("byte_position"), "size", F.ascii("symbol").alias("code"))
+
+
+def decode(rows: DataFrame, key: str) -> DataFrame:
+    """Symbols of bytes that may not be UTF-8 (key, data), as positions() gives them, in order of `at`.
+
+    A lead byte takes the bytes it announces; if they are no legal symbol the code is 0 and the symbol position stays. A
+    truncated tail is one symbol of code 0 and size 0.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int, int, int]] = []
+            for row, data in enumerate(batch.column("data").to_pylist()):
+                i = at = position = 0
+                while data and i < len(data):
+                    size = 1 + sum(data[i] >= lead for lead in (0xC0, 0xE0, 0xF0, 0xF8, 0xFC))
+                    chain = data[i : i + size]
+                    try:
+                        code = ord(chain.decode()) if len(chain) == size else 0
+                        position += len(chain) == size
+                    except (UnicodeDecodeError, TypeError):
+                        code = 0
+                    i += len(chain)
+                    out.append((row, at, position, i, size if len(chain) == size else 0, code))
+                    at += 1
+            row, *columns = (list(c) for c in zip(*out, strict=True)) if out else [[]] * 6
+            keys = batch.column(key).take(pa.array(row, pa.int64()))
+            names = [key, "at", "position", "byte_position", "size", "code"]
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, pa.int32()) for c in columns]], names)
+
+    schema = f"{key} {kind}, at int, position int, byte_position int, size int, code int"
+    return rows.select(key, "data").mapInArrow(run, schema)
 
 
 def describe(rows: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import charsets, pos
+from quillon.functions import charsets, pos, scalars
 from quillon.functions import text as T
 from quillon.operators import kv, morphology, patterns, sets, symbols
 from quillon.operators import postings as P
@@ -415,7 +415,7 @@ def symbol_classes(spark, sf_dir):
 @_query(
     "WITH s AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents), e AS (SELECT doc_id, p, c[p] AS ch FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS p FROM s)) "
     "SELECT doc_id, max(p) AS symbols, CAST(sum(strlen(ch)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN strlen(ch) > 1 THEN pl END) AS BIGINT) AS place_sum FROM "
-    "(SELECT *, coalesce(sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pl FROM e) GROUP BY doc_id"
+    "(SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p) AS pl FROM e) GROUP BY doc_id"
 )
 def utf8_positions(spark, sf_dir):
     rows = symbols.positions(_docs(spark, sf_dir), "doc_id")
@@ -439,6 +439,19 @@ def decode_charsets(spark, sf_dir):
     return out
 
 
+@_query("SELECT o_orderkey AS key, o_orderkey + 1 AS again, CAST(o_orderkey % 256 AS INTEGER) AS low FROM orders")
+def scalar_bytes(spark, sf_dir):
+    data = scalars.to_bytes(F.col("o_orderkey") + 1, 8)
+    low = F.conv(F.substring(F.hex(scalars.to_bytes(F.col("o_orderkey"), 4)), 1, 2), 16, 10).cast("int")
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), scalars.from_bytes(data, 8).alias("again"), low.alias("low"))
+
+
+@_query("SELECT doc_id, count(*) AS symbols, CAST(sum(ord(ch)) AS BIGINT) AS code_sum FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY doc_id")
+def utf8_decode(spark, sf_dir):
+    data = _docs(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("data"))
+    return symbols.decode(data, "doc_id").groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("code").alias("code_sum"))
+
+
 # --- patterns ------------------------------------------------------------------------------------------------------------
 
 _PATTERNS = [(1, "the"), (2, "then"), (3, "ther"), (4, "he"), (5, "ion"), (6, "nation"), (7, "tion th")]

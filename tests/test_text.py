@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import charsets
+from quillon.functions import charsets, scalars
 from quillon.functions import text as T
 from quillon.operators import symbols
 
@@ -34,7 +34,7 @@ def test_filter_and_words(spark):
 def test_utf8(spark):
     text = "f!Ющтਉ"
     rows = symbols.positions(spark.createDataFrame([(1, "f!Ющ₂ਉ")], "id int, text string"), "id").orderBy("position").collect()
-    assert [r["byte_position"] for r in rows] == [1, 2, 3, 5, 7, 10]
+    assert [r["byte_position"] for r in rows] == [1, 2, 4, 6, 9, 12]
     assert [r["size"] for r in rows] == [1, 1, 2, 2, 3, 3]
     for s in (text, "", "𝒳a", "\u0000x"):
         assert one(spark, s, T.from_code_points(T.code_points(F.col("text")))) == s
@@ -70,3 +70,23 @@ def test_known_bytes():
 def test_filter_line(spark):
     assert one(spark, "$creation_date:2020-01-02", T.filter_line(F.col("text"), "А-Яа-яЁё")) == "$creation_date:2020-01-02"
     assert one(spark, "Ёж, cat 1", T.filter_line(F.col("text"), "А-Яа-яЁё")) == "Ёж       "
+
+
+def test_bytes_that_may_not_be_utf8(spark):
+    data = [bytearray.fromhex("6621D0AED189D082E0A889"), bytearray.fromhex("61C0AFED A0 80 FF E282"), bytearray(), None]
+    df = spark.createDataFrame(list(enumerate(data)), "id int, data binary")
+    got = {}
+    for r in symbols.decode(df, "id").orderBy("id", "at").collect():
+        got.setdefault(r["id"], []).append((r["position"], r["byte_position"], r["size"], r["code"]))
+    assert got[0] == [(1, 1, 1, 0x66), (2, 2, 1, 0x21), (3, 4, 2, 0x42E), (4, 6, 2, 0x449), (5, 8, 2, 0x402), (6, 11, 3, 0xA09)]
+    assert got[1] == [(1, 1, 1, 0x61), (1, 3, 2, 0), (1, 6, 3, 0), (1, 9, 0, 0)]
+    assert set(got) == {0, 1}
+
+
+def test_scalar_bytes(spark):
+    df = spark.createDataFrame([(1,), (0xFFFFFFFF,), (0,), (-2,)], "v long")
+    rows = df.select("v", scalars.to_bytes(F.col("v"), 4).alias("a"), scalars.to_bytes(F.col("v"), 8).alias("b")).collect()
+    assert [bytes(r["b"]) for r in rows] == [(v % 2**64).to_bytes(8, "little") for v in (1, 0xFFFFFFFF, 0, -2)]
+    assert [bytes(r["a"]) for r in rows][:3] == [v.to_bytes(4, "little") for v in (1, 0xFFFFFFFF, 0)]
+    back = df.select(scalars.from_bytes(scalars.to_bytes(F.col("v"), 8), 8)).collect()
+    assert [r[0] for r in back] == [1, 0xFFFFFFFF, 0, -2]
