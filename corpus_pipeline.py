@@ -6,7 +6,7 @@ stages the documents are written as Parquet and read again, so a stage's input n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard, langid, packing, pii, substring
@@ -23,31 +23,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled documents of this input that are not held out.
     """
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, model, spans=False)
+    found = langid.identify(docs, model, spans=False, keep=tuple(COLUMNS))
     kept = found.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
-    rows = docs.join(kept.select("doc_id", "lang_pred"), "doc_id")
-    return rows.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each class of near duplicates (five words, similarity 0.8)."""
+    """Keep the document with the smallest doc_id of each class of near duplicates (five words, similarity 0.8).
+
+    Of rows that share a doc_id the one with the smallest text stays; rows without a doc_id go.
+    """
     classes = jaccard.near_duplicates(docs, jaccard.Rule(k=5, num=80, den=100))
     first = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.join(first, "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
+    return rows.withColumn("place", place).filter("place = 1").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words that an earlier document has; a document that loses all its words goes."""
-    cut = substring.dedup(docs).filter("n_removed > 0").select("doc_id", "kept")
-    rows = docs.join(cut, "doc_id", "left").filter("kept is null or kept <> ''")
-    text = F.coalesce("kept", "text")
-    return rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", text).select(*COLUMNS)
+    rows = substring.dedup(docs, keep=tuple(COLUMNS)).filter("kept is null or kept <> ''")
+    size = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))
+    return rows.withColumn("n_chars", size).withColumn("text", F.coalesce("kept", "text")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data with its kind; every document stays."""
-    masked = pii.mask(docs, pii.detect(docs))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,8 +208,8 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
     return labels
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = True) -> DataFrame:
-    """doc_id, lang_pred, score and, if asked for, spans (start, end, lang) in code points of each text."""
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, lang_pred, score and, if asked for, spans (start, end, lang) in code points of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -237,12 +237,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
                         stop = np.append(cut[1:], len(labels)) - 1
                         for a, b in zip(cut.tolist(), stop.tolist(), strict=True):
                             found[chunk.doc[a]].append({"start": int(chunk.start[a]), "end": int(chunk.end[b]), "lang": names[labels[a]]})
-                out = [part.column("doc_id"), pa.array(names[pred], pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(found, span)] * spans, ["doc_id", "lang_pred", "score"] + ["spans"] * spans)
+                out = [*map(part.column, keep), pa.array(names[pred], pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(found, span)] * spans, [*keep, "lang_pred", "score"] + ["spans"] * spans)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
     schema += ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@
 3. EM. The votes of all candidates, counted by kind and code, fit a two-class model of labeler reliabilities. The counts
    are exact for the whole corpus and their number is bounded by the codes that exist.
 4. Classifier. A logistic model per kind, fitted to the posteriors weighted by the same counts, judges form features.
-   Looser candidates over `threshold` are added; base matches always stay.
+   Looser candidates over `threshold` are added, which takes more than one labeler; base matches always stay.
 
 Texts are read once; the candidates, a few per text, are kept as a written table while the model is fitted.
 
@@ -151,22 +151,22 @@ def judge(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
     return votes, features
 
 
+def of_text(text: str) -> list[tuple[int, int, int, int, int]]:
+    """(kind, start, end, votes, features) of the candidates of one text, by kind, then start."""
+    base = base_spans(text)
+    every = [(*s, True) for s in base] + [(*s, False) for s in _loose_spans(text, base)]
+    return [(k, s, e, *judge(text, k, s, e, is_base)) for k, s, e, is_base in sorted(every)]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and, per text, its candidates: kind, start, end, votes, features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end", "votes", "features")]))
+        names = ("kind", "start", "end", "votes", "features")
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in names]))
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                every = [(*s, 1) for s in base] + [(*s, 0) for s in _loose_spans(text, base)]
-                rows = []
-                for k, s, e, is_base in sorted(every):
-                    votes, features = judge(text, k, s, e, bool(is_base))
-                    rows.append({"kind": k, "start": s, "end": e, "votes": votes, "features": features})
-                found.append(rows)
+            texts = batch.column("text").to_pylist()
+            found = [[dict(zip(names, c, strict=True)) for c in of_text(text or "")] for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -215,16 +215,21 @@ def fit(counts: list[tuple[int, int, int, int]], rounds: int = 50) -> dict[tuple
     return model
 
 
-def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def accepted(found: DataFrame, threshold: float) -> list[tuple[int, int, int]]:
+    """The (kind, votes, features) of looser candidates that the fitted classifier lets through."""
+    counts = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.features").count()
+    model = fit([tuple(r) for r in counts.collect()])
+    return sorted(k for k, score in model.items() if score >= threshold and not k[2] & 1)
+
+
+def detect(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Spans of personal data of every text.
 
     Returns doc_id and spans, an array of (kind, start, end, base, score) by kind, then start.
     """
     found = Scratch(docs.sparkSession, "pii").table(candidates(docs), "candidates")
-    each = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.features").count()
-    model = fit([tuple(r) for r in each.collect()])
-    loose = [k for k, score in model.items() if score >= threshold and not k[2] & 1]
-    good = F.array(*[F.lit((k * 27 + v) * 16 + f) for k, v, f in sorted(loose)]) if loose else F.array().cast("array<int>")
+    loose = accepted(found, threshold)
+    good = F.array(*[F.lit((k * 27 + v) * 16 + f) for k, v, f in loose]) if loose else F.array().cast("array<int>")
     names = F.array(*[F.lit(k) for k in KINDS])
     kept = F.filter(
         "found",
@@ -256,27 +261,28 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
-def mask(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def mask(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans are masked as one.
 
-    docs needs unique doc_id; rows without spans, and null texts, stay as they are.
+    Learns from all texts first, then finds the spans again while it rewrites them, so no text is shuffled. Null texts stay.
     """
+    loose = set(accepted(candidates(docs), threshold))
+
+    def masked(text: str | None) -> str | None:
+        spans = [(s, e, k) for k, s, e, v, f in of_text(text or "") if f & 1 or (k, v, f) in loose]
+        if not spans:
+            return text
+        parts, at = [], 0
+        for s, e, k in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if s >= at:
+                parts += [text[at:s], f"<{KINDS[k]}>"]
+            at = max(at, e)
+        return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if text is not None and found:
-                    parts, at = [], 0
-                    for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= at:
-                            parts += [text[at : s["start"]], f"<{s['kind']}>"]
-                        at = max(at, s["end"])
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type)).drop_columns(["spans"])
-
-    hit = spans.filter(F.size("spans") > 0).select("doc_id", "spans")
-    return docs.join(hit, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(run, docs.schema)
+            texts = [masked(t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
 
+    return docs.mapInArrow(run, docs.schema)

@@ -230,7 +230,7 @@ def cut_words(words: list[bytes], ranges: list[dict] | None, window: int) -> lis
     return kept + words[at:]
 
 
-def _texts(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _texts(window: int, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, kept = [], []
@@ -240,28 +240,29 @@ def _texts(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 kept.append(cut_words(words, ranges, window))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *map(batch.column, keep),
                     pa.array(total, pa.int64()),
                     pa.array([n - len(k) for n, k in zip(total, kept, strict=True)], pa.int64()),
                     pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]),
                     pa.array([None if not r else b" ".join(k).decode() for k, r in zip(kept, batch.column("ranges").to_pylist(), strict=True)], pa.string()),
                 ],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
+                [*keep, "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = 50, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for each row, and `kept`: the kept words where some went, else null.
+def dedup(docs: DataFrame, window: int = 50, texts: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_words, n_removed, kept_sha256 of each row, and `kept`: the kept words where some went, else null.
 
     window must be even. `texts`: whether to return kept.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     block, buckets = window // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    live = source.filter("doc_id is not null and text is not null")
+    more = [c for c in keep if c not in ("doc_id", "text")]
+    source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.struct(F.lit(0).alias("_"), *more).alias("more"))
+    live = source.select("doc_id", "text", "text_hash").filter("doc_id is not null and text is not null")
     probes = live.mapInArrow(_probes(block, buckets), _ANCHOR_ROW)
     anchors = probes.groupBy("bucket").applyInArrow(_anchors, "doc_id long, text_hash long, block int")
     anchors = scratch.table(anchors.groupBy("doc_id", "text_hash").agg(F.collect_set("block").alias("blocks")), "anchors")
@@ -271,6 +272,9 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True) -> DataFrame:
     names = ranges.select(F.col("doc_id").alias("id"))
     cut = _known(source, names, inside=True).join(ranges, ["doc_id", "text_hash"], "left")
     whole = _known(source, names, inside=False).withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-    rows = whole.select("doc_id", "text", "ranges").unionByName(cut.select("doc_id", "text", "ranges"))
-    out = rows.mapInArrow(_texts(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    names = ["doc_id", "text", *[f"more.{c}" for c in more], "ranges"]
+    rows = whole.select(*names).unionByName(cut.select(*names))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", n_words long, n_removed long, kept_sha256 string, kept string"
+    out = rows.mapInArrow(_texts(window, keep), schema)
     return out if texts else out.drop("kept")

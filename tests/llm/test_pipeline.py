@@ -78,7 +78,12 @@ def test_stages_against_plain_versions(spark):
 def test_run_equals_the_stages_and_takes_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(90_001, None, None, None, None), (90_002, "", "en", "s", 0), (90_003, "1 2 3", None, "s", 5)], docs.schema)
+    odd = odd.unionByName(docs.limit(5)).unionByName(docs.limit(5))
     docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
     got = cp.run(spark, str(tmp_path))
     assert got.filter(F.col("doc_id") >= 90_000).count() == 0
     assert got.count() > 30
+    assert got.groupBy("doc_id", "piece").count().filter("count > 1").count() == 0
+    empty = cp.load(spark, str(tmp_path), "documents").limit(0)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
