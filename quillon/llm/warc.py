@@ -159,7 +159,7 @@ def write(
         "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to", "first"
     )
     rows = full.unionByName(marks).withColumn("shard", shard)
-    placed = rows.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    placed = rows.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     temp = f"{path}/_temporary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
