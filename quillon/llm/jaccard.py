@@ -6,10 +6,12 @@ all others go by hash. Two sets that reach the threshold share a shingle of thei
 
 1. Equal sets collapse to the smallest doc_id; sets with equal prefix and size form a group, led by its smallest doc_id.
 2. Postings of the groups: a rare shingle of one document alone is dropped; the rest are written.
-3. First round, linear in the postings: in every shingle's list each group meets the list's pivot of like size, each member
-   its leader. What is verified is linked, and components are formed.
-4. Second round: only pairs of lists' entries that are still in different components are left. Size and positional filters
-   apply to the pairs of groups, members whose leader did not link stand for themselves, and the texts decide.
+3. First rounds, linear in the postings: in short lists all groups meet; in a longer one each group meets the list's pivot of
+   like size, first the group with the fewest rarer shingles, then two drawn by hash. A further member meets its leader. What
+   is verified is linked, and components are formed.
+4. Last round: only pairs of long lists' entries that are still in different components are left.
+Size and positional filters apply to pairs of groups; then groups expand to their members, and the whole texts decide.
+Before texts are compared, parities of the sets over hash classes rule out pairs that differ too much for certain.
 
 So a pair at the threshold is linked, or both ends were already connected; a crowd of near copies costs one check each.
 Texts are sent only for documents in some pair (a bounded bloom filter drops most others at the scan).
@@ -33,11 +35,17 @@ from quillon.llm.components import components
 from quillon.llm.words import U64, chunks, mix, row_sets, shingles, split
 from quillon.runtime import Scratch
 
-#: A shingle in this share of all documents counts as frequent; at most HEAVY of them are told apart.
-SHARE = 0.001
+#: A shingle counts as frequent if parts of the input that hold it PART_COUNT times or more add up to LEAST_COUNT; at most
+#: the HEAVY most frequent are told apart. A part is about _PART shingles.
+PART_COUNT, LEAST_COUNT = 4, 16
 HEAVY = 1 << 20
-_PART = 4_000_000
+_PART = 6_000_000
+#: Lists of up to this many groups are joined whole.
+SHORT = 32
+#: Rounds of pivots before the last round.
+TURNS = 3
 BLOOM_BITS = 1 << 26
+SIGNS = ("s0", "s1", "s2", "s3")
 
 
 @dataclass(frozen=True)
@@ -66,11 +74,11 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "a", "b", "token", "count"]
         held: list[np.ndarray] = []
-        docs = size = 0
+        size = 0
 
         def frequent() -> pa.RecordBatch:
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= max(4, SHARE * docs)
+            keep = count >= PART_COUNT
             tokens, count = tokens[keep], count[keep]
             none = pa.nulls(len(tokens), pa.int64())
             return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(tokens.view(np.int64)), pa.array(count.astype(np.int64))], names)
@@ -86,30 +94,89 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 ids = part.column("doc_id").cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(key[:, 0]), pa.array(key[:, 1]), none, none], names)
                 held.append(sets)
-                docs, size = docs + part.num_rows, size + len(sets)
+                size += len(sets)
                 if size >= _PART:
                     yield frequent()
-                    held, docs, size = [], 0, 0
+                    held, size = [], 0
         if held:
             yield frequent()
 
     return run
 
 
+def _signatures(sets: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parities over the next power of two to n, from 256 to 8192, classes; halves laid over each other give those over fewer."""
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 256, 8192)
+    out: list[bytes] = [b""] * len(n)
+    hashed = mix(sets ^ U64(0x2545F4914F6CDD1D))
+    for size in np.unique(bits):
+        rows = np.flatnonzero(bits == size)
+        local = np.full(len(n), -1)
+        local[rows] = np.arange(len(rows))
+        mine = local[row] >= 0
+        at = local[row[mine]] * size + (hashed[mine] & U64(size - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(rows) * size).astype(np.uint8) & 1
+        for i, packed in zip(rows.tolist(), np.packbits(odd.reshape(-1, size), axis=1), strict=True):
+            out[i] = packed.tobytes()
+    return out
+
+
+def _folded(signs: pa.Array, width: int) -> np.ndarray:
+    """Signatures of one length as a matrix of `width` bytes."""
+    data = np.frombuffer(b"".join(signs.to_pylist()), dtype=np.uint8).reshape(len(signs), -1)
+    while data.shape[1] > width:
+        data = data[:, : data.shape[1] // 2] ^ data[:, data.shape[1] // 2 :]
+    return data
+
+
+def _screen(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drop the pairs whose signatures differ in more bits than sets at the threshold differ in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
+            one, two = batch.column("sign_u"), batch.column("sign_v")
+            most = n + m - 2 * -(-rule.num * (n + m) // (rule.num + rule.den))
+            sizes = np.column_stack([pa.compute.binary_length(c).to_numpy() for c in (one, two)])
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for pair in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == pair).all(1))
+                take = pa.array(at)
+                apart = _folded(one.take(take), pair.min()) ^ _folded(two.take(take), pair.min())
+                keep[at] = np.bitwise_count(apart).sum(1) <= most[at]
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return run
+
+
+def screened(pairs: DataFrame, signs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (u, v) that their documents' signatures leave possible."""
+    side = lambda c, n: signs.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("sign").alias(f"sign_{c}"))
+    joined = pairs.join(side("v", "n2"), "v").join(side("u", "n1"), "u")
+    return joined.select("u", "v", "n1", "n2", "sign_u", "sign_v").mapInArrow(_screen(rule), "u long, v long")
+
+
 def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc_id, n, light, dense): the prefix in order, its frequent shingles, if any, come last."""
+    """Rows (doc_id, n, light, dense, s0..s3, sign): the prefix in order, its frequent shingles, if any, come last.
+
+    s0 to s3 are the parities of the set over 256 hash classes, sign those over about n classes: two sets differ in at
+    least as many shingles as bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = heavy.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets, bounds = _sets(part.column("text"), rule.k)
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                classes = (mix(sets) >> U64(56)).astype(np.int64)
+                odd = np.bincount(row * 256 + classes, minlength=256 * len(n)).astype(np.uint8) & 1
+                signs = np.packbits(odd.reshape(-1, 256), axis=1).view(np.int64)
                 rank = np.zeros(len(sets), dtype=np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, sets), len(tokens) - 1)
                     rank = np.where(tokens[at] == sets, counts[at], 0)
-                n = np.diff(bounds)
-                row = np.repeat(np.arange(len(n)), n)
                 # Sets are sorted by hash already; only rows with a frequent shingle need another order.
                 for i in np.unique(row[rank > 0]):
                     a, b = bounds[i], bounds[i + 1]
@@ -121,7 +188,9 @@ def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 for mask in (light, dense):
                     ends = np.append(0, np.cumsum(np.bincount(row[mask], minlength=len(n)))).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(sets[mask].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "light", "dense"])
+                out += [pa.array(np.ascontiguousarray(signs[:, j])) for j in range(4)]
+                out.append(pa.array(_signatures(sets, row, n), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "light", "dense", *SIGNS, "sign"])
 
     return run
 
@@ -189,7 +258,9 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) ->
     texts = texts_of(docs, ids, scratch)
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     joined = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v")
-    return scratch.table(joined.mapInArrow(_verify(rule), "u long, v long"), "edges")
+    edges = scratch.table(joined.mapInArrow(_verify(rule), "u long, v long"), "edges")
+    scratch.drop(ids, texts)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -203,15 +274,14 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     reps = scratch.table(
         rows.filter("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "reps"
     )
-    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(4, SHARE * count / 2, total / HEAVY)
-    often = seen.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= least)
+    often = seen.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    often = often.orderBy(F.desc("n"), "token").limit(HEAVY)
     table = often.toArrow()
     tokens, counts = table.column("token").to_numpy().view(U64), table.column("n").to_numpy()
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))
 
-    prefixes = source.mapInArrow(_prefixes(rule, heavy), "doc_id long, n long, light array<bigint>, dense array<bigint>")
+    prefixes = source.mapInArrow(_prefixes(rule, heavy), "doc_id long, n long, light array<bigint>, dense array<bigint>, s0 long, s1 long, s2 long, s3 long, sign binary")
     alone = prefixes.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     marks = scratch.table(
         alone.withColumn("p", F.xxhash64("light", "dense")).withColumn("q", F.hash("light", "dense")), "prefixes"
@@ -221,16 +291,32 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
     members = scratch.table(marks.select("doc_id", "n", "p", "q").join(groups, ["n", "p", "q"]).select("doc_id", "g").filter("doc_id <> g"), "members")
     led = marks.join(groups.select(F.col("g").alias("doc_id"), "members"), "doc_id")
-    light = led.select(F.col("doc_id").alias("g"), "n", "members", F.posexplode("light").alias("pos", "token"))
-    dense = led.select(F.col("doc_id").alias("g"), "n", "members", F.size("light").alias("before"), F.posexplode("dense").alias("at", "token"))
-    held = F.sum("members").over(Window.partitionBy("token"))
-    light = light.withColumn("held", held).filter("held > 1").select("token", "g", "n", "pos")
-    dense = dense.select("token", "g", "n", (F.col("before") + F.col("at")).cast("int").alias("pos"))
+    light = led.select(F.col("doc_id").alias("g"), "n", "members", *SIGNS, F.posexplode("light").alias("pos", "token"))
+    dense = led.select(F.col("doc_id").alias("g"), "n", "members", *SIGNS, F.size("light").alias("before"), F.posexplode("dense").alias("at", "token"))
+    same = Window.partitionBy("token")
+    light = light.withColumn("held", F.sum("members").over(same)).withColumn("m", F.count("*").over(same))
+    light = light.filter("held > 1").select("token", "g", "n", "pos", "m", (F.col("members") == 1).alias("solo"), *SIGNS)
+    dense = dense.select("token", "g", "n", (F.col("before") + F.col("at")).cast("int").alias("pos"), F.lit(None).cast("long").alias("m"), (F.col("members") == 1).alias("solo"), *SIGNS)
     lists = scratch.table(light.unionByName(dense), "lists")
-    first = verified(docs, scratch.table(_pivots(lists, members, rule, scratch), "pairs"), rule, scratch)
+    signs = scratch.table(marks.select("doc_id", "n", "sign"), "signs")
+    scratch.drop(marks, groups)
+    long = lists.filter(f"m is null or m > {SHORT}").drop("m")
+    pairs = _short(lists.filter(f"m <= {SHORT}").drop("m"), rule).unionByName(_pivots(long, rule, scratch))
+    pairs = _expanded(pairs, members).unionByName(members.select(F.col("doc_id").alias("u"), F.col("g").alias("v"))).distinct()
+    first = verified(docs, scratch.table(screened(scratch.table(pairs, "pairs"), signs, rule), "screened"), rule, scratch)
     near = scratch.table(components(first, scratch), "components")
-    second = verified(docs, scratch.table(_apart(lists, members, near, rule, scratch), "pairs"), rule, scratch)
-    both = components(first.unionByName(second), scratch)
+    for turn in range(1, TURNS):
+        pairs = scratch.table(_expanded(_pivots(_labelled(long, members, near), rule, scratch, turn), members).distinct(), "pairs")
+        more = verified(docs, scratch.table(screened(pairs, signs, rule), "screened"), rule, scratch)
+        if more.isEmpty():
+            break
+        stars = near.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+        near = scratch.table(components(stars.unionByName(more), scratch), "components")
+    pairs = _apart(long, members, near, rule, scratch)
+    scratch.drop(lists)
+    last = verified(docs, scratch.table(screened(pairs, signs, rule), "screened"), rule, scratch)
+    stars = near.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    both = components(stars.unionByName(last), scratch)
     known = scratch.table(
         reps.join(both.withColumnRenamed("id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("component_id", "rep").alias("component_id")),
         "classes",
@@ -243,35 +329,108 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
 
 
-def _pivots(lists: DataFrame, members: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """For each group the pivot it shares most prefix shingles with, and for each further member its leader."""
-    size = lists.withColumn("size", F.floor(F.log("n") / F.log(F.lit(rule.den / rule.num))).cast("int"))
-    heads = size.groupBy("token", "size").agg(F.min(F.struct("n", "g")).alias("head"), F.count("*").alias("m")).filter("m > 1")
-    heads = scratch.table(heads.select("token", "size", F.col("head.g").alias("v")), "pivots")
-    met = size.join(heads, ["token", "size"]).filter("g <> v")
-    shared = met.groupBy(F.col("g").alias("u"), "v").agg(F.count("*").alias("c"))
-    best = shared.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
-    return best.unionByName(members.select(F.col("doc_id").alias("u"), F.col("g").alias("v")))
+def _near(rule: Rule) -> tuple[str, str]:
+    """Conditions that every pair at the threshold meets at its first shared shingle: sizes and signatures; positions.
+
+    For sizes n1 and n2 the pair shares at least `need` shingles, so it differs in at most n1 + n2 - 2 need, and the first
+    one shared has at most n - need before it on either side.
+    """
+    need = f"ceil({rule.num} * (n1 + n2) / {rule.num + rule.den} - 1e-9)"
+    bits = " + ".join(f"bit_count({c} ^ o{c})" for c in SIGNS)
+    apart = f"solo and osolo and {bits} > n1 + n2 - 2 * {need}"  # a group of several has no signature of its own
+    sizes = f"{rule.den} * least(n1, n2) >= {rule.num} * greatest(n1, n2) and not ({apart})"
+    return sizes, f"p1 <= n1 - {need} and p2 <= n2 - {need}"
+
+
+def _sides(entries: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The entries under the names of the left and of the right end of a pair."""
+    one = entries.select("token", *keys, F.col("g").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"), "solo", *SIGNS)
+    two = entries.select(
+        "token", *[F.col(k).alias(f"o{k}") for k in keys], F.col("g").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("p2"),
+        *[F.col(c).alias(f"o{c}") for c in ("solo", *SIGNS)],
+    )
+    return one, two
+
+
+def _short(lists: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs of short lists."""
+    one, two = _sides(lists)
+    sizes, places_ = _near(rule)
+    return one.join(two, "token").filter("u < v").filter(sizes).filter(places_).select("u", "v")
 
 
-def _apart(lists: DataFrame, members: DataFrame, near: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Pairs in different components that pass the size and positional filters."""
+def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of leaders as pairs of all members of both groups."""
+    whole = members.select("g", "doc_id").unionByName(members.select("g", F.col("g").alias("doc_id")).distinct())
+    for end in ("u", "v"):
+        side = whole.select(F.col("g").alias(end), F.col("doc_id").alias("member"))
+        pairs = pairs.join(side, end, "left").withColumn(end, F.coalesce("member", end)).drop("member")
+    return pairs.select("u", "v")
+
+
+def _groups(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_id, g, c) of all members of groups of several, leaders too."""
+    whole = members.select("g", "doc_id").unionByName(members.select("g", F.col("g").alias("doc_id")).distinct())
+    label = near.select(F.col("id").alias("doc_id"), F.col("component_id").alias("c"))
+    return whole.join(label, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+
+
+def _labelled(lists: DataFrame, members: DataFrame, near: DataFrame) -> DataFrame:
+    """The entries with a label c: their component, or one of their own where a group's members are in several."""
+    mixed = _groups(members, near).groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
     label = near.select(F.col("id").alias("g"), F.col("component_id").alias("c"))
-    leader = members.join(label.withColumnRenamed("c", "leads"), "g", "left").join(label.withColumnRenamed("g", "doc_id"), "doc_id", "left")
-    stray = leader.filter(F.coalesce("leads", "g") != F.coalesce("c", "doc_id")).select("doc_id", "g")
-    copied = lists.join(stray, "g").select("token", F.col("doc_id").alias("g"), "n", "pos")
-    entries = lists.unionByName(copied).join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
-    entries = scratch.table(entries, "entries")
-    mixed = entries.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    live = scratch.table(entries.join(scratch.table(mixed.select("token"), "mixed"), "token"), "live")
-    span = scratch.table(live.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high")), "spans")
-    t = rule.num / rule.den - 1e-9
-    left, right = span.alias("l"), span.select("token", F.col("c").alias("d"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    classes = left.join(right, "token").filter(F.expr(f"c < d and high >= {t} * low2 and high2 >= {t} * low")).select("token", "c", "d")
-    one = live.select("token", "c", F.col("g").alias("u"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    two = live.select("token", F.col("c").alias("d"), F.col("g").alias("v"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    pairs = classes.join(one, ["token", "c"]).join(two, ["token", "d"]).filter(F.expr(f"least(n1, n2) >= {t} * greatest(n1, n2)"))
-    met = pairs.groupBy("u", "v", "n1", "n2").agg(F.count("*").alias("k"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
-    need = F.ceil(F.lit(rule.num) * (F.col("n1") + F.col("n2")) / F.lit(rule.num + rule.den) - 1e-9)
-    missed = lambda p: F.col(p) + 1 - F.col("k")  # noqa: E731  shingles before the last shared one that the other lacks
-    return met.filter((missed("p1") <= F.col("n1") - need) & (missed("p2") <= F.col("n2") - need)).select("u", "v")
+    label = label.join(mixed.select("g", F.lit(True).alias("mixed")), "g", "full")
+    own = F.when(F.col("mixed"), F.concat(F.lit("group "), F.col("g"))).otherwise(F.coalesce("c", "g").cast("string"))
+    return lists.join(label, "g", "left").withColumn("c", own).drop("mixed")
+
+
+def _pivots(lists: DataFrame, rule: Rule, scratch: Scratch, turn: int = 0) -> DataFrame:
+    """Each group with the pivots of its lists, one for each size class.
+
+    In turn 0 the pivot is the group with the fewest rarer shingles, later one by hash, among entries that have components,
+    and pairs within one are left out.
+    """
+    size = lists.withColumn("size", F.floor(F.log("n") / F.log(F.lit(rule.den / rule.num))).cast("int"))
+    size = size if turn else size.withColumn("c", F.col("g").cast("string"))
+    size = size.withColumn("draw", F.xxhash64("g", F.lit(turn)) if turn else F.col("pos").cast("long"))
+    head = F.min(F.struct("draw", "n", "g", "pos", "c", "solo", *SIGNS)).alias("head")
+    heads = size.groupBy("token", "size").agg(head, F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    heads = scratch.table(heads.select("token", "size", "head.*"), "pivots")
+    one, _ = _sides(size, "size", "c")
+    _, two = _sides(heads, "size", "c")
+    met = one.join(two.withColumnRenamed("osize", "size"), ["token", "size"])
+    return met.filter("c <> oc").filter(_near(rule)[0]).select("u", "v")
+
+
+def _apart(long: DataFrame, members: DataFrame, near: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Pairs of documents in different components that pass the filters.
+
+    Where most entries of a list are components of their own, they meet directly; else the components of a list meet
+    first, so that the entries of one component are never set against each other.
+    """
+    entries = scratch.table(_labelled(long, members, near), "entries")
+    span = scratch.table(entries.groupBy("token", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"), F.count("*").alias("m")), "spans")
+    mixed = span.groupBy("token").agg(F.count("*").alias("parts"), F.sum("m").alias("m")).filter("parts > 1")
+    mixed = scratch.table(mixed.select("token", (F.col("m") <= 2 * F.col("parts")).alias("direct")), "mixed")
+    live = scratch.table(entries.join(mixed, "token"), "live")
+    sizes, places_ = _near(rule)
+    one, two = _sides(live.filter("direct"), "c")
+    direct = one.join(two, "token").filter("u < v and c <> oc").filter(sizes).filter(places_)
+    left = span.join(mixed.filter("not direct"), "token")
+    right = left.select("token", *[F.col(k).alias(f"o{k}") for k in ("c", "low", "high", "first", "m")])
+    # The smaller component's entries are laid out first, and meet those of the larger one under all filters.
+    # The least that sets of sizes n and m share grows with both: the most before a first shared shingle is n - need(n, low m).
+    most = lambda n, m: f"{n} - ceil({rule.num} * ({n} + {m}) / {rule.num + rule.den} - 1e-9)"
+    reach = f"(m < om or m = om and c < oc) and {rule.den} * high >= {rule.num} * olow and {rule.den} * ohigh >= {rule.num} * low"
+    reach += f" and first <= {most('high', 'olow')} and ofirst <= {most('ohigh', 'low')}"
+    classes = left.join(right, "token").filter(reach).select("token", "c", "oc", "olow")
+    one, two = _sides(live.filter("not direct"), "c")
+    half = classes.join(one, ["token", "c"]).filter(f"p1 <= {most('n1', 'olow')}").drop("olow", "c")
+    through = half.join(two, ["token", "oc"]).filter(sizes).filter(places_)
+    pairs = direct.select("u", "v").unionByName(through.select("u", "v"))
+    mine = _groups(members, near)
+    other = mine.select("g", F.col("doc_id").alias("v"), F.col("c").alias("oc"))
+    within = mine.withColumnRenamed("doc_id", "u").join(other, "g").filter("u < v and c <> oc").select("u", "v")
+    out = scratch.table(_expanded(pairs.distinct(), members).unionByName(within).distinct(), "pairs")
+    scratch.drop(entries, span, mixed, live)
+    return out

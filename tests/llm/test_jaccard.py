@@ -51,16 +51,17 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("seed", "rule"), [(1, jaccard.Rule(4, 85, 100)), (2, jaccard.Rule()), (3, jaccard.Rule(2, 60, 100))])
 def test_against_brute_force(spark, monkeypatch, seed, rule):
-    monkeypatch.setattr(jaccard, "_PART", 800)
+    monkeypatch.setattr(jaccard, "SHORT", 4)
     rows = corpus(seed)
     got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), rule).collect()}
     want = brute(rows, rule)
     assert got == want, sorted(got ^ want)[:10]
 
 
-def test_second_round_alone_is_complete(spark, monkeypatch):
-    """Without the pivots, the second round must find every link by itself."""
-    monkeypatch.setattr(jaccard, "_pivots", lambda lists, members, rule, scratch: members.selectExpr("doc_id u", "g v").limit(0))
+def test_last_round_alone_is_complete(spark, monkeypatch):
+    """Without short lists and pivots, the last round must find every link by itself."""
+    monkeypatch.setattr(jaccard, "SHORT", 0)
+    monkeypatch.setattr(jaccard, "_pivots", lambda lists, *more: lists.selectExpr("g u", "g v").limit(0))
     rule, rows = jaccard.Rule(3, 70, 100), corpus(4)
     got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), rule).collect()}
     assert got == brute(rows, rule)
