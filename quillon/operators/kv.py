@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import running_sum
+
 PUT, DELETE = 0, 1
 POLICIES = ("simple", "granular", "leveled")
 
@@ -22,15 +24,14 @@ POLICIES = ("simple", "granular", "leveled")
 def put(log: DataFrame, rows: DataFrame, order: list[str | Column] | None = None) -> DataFrame:
     """Append puts of rows (key, value), or with an `op` column any operations.
 
-    With `order`, sequence numbers follow it from the log's last one; without it, rows bring their own seq. Numbering a
-    whole batch needs one ordered pass over the batch, not over the log.
+    With `order`, which must tell rows apart, sequence numbers follow it from the log's last one; without it, rows bring
+    their own seq.
     """
     if "op" not in rows.columns:
         rows = rows.withColumn("op", F.lit(PUT).cast("tinyint"))
     if order is not None:
-        last = current_sequence(log).select(F.col("seq").alias("last"))
-        rows = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
-        rows = rows.join(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("last")).drop("last")
+        last = current_sequence(log).first()["seq"]
+        rows = running_sum(rows, order, F.lit(1), "seq").withColumn("seq", F.col("seq") + last + 1)
     return log.unionByName(rows.select(*log.columns))
 
 
@@ -145,8 +146,8 @@ def tables(log: DataFrame, max_table_bytes: int) -> DataFrame:
     """
     size = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
     keys = log.groupBy("key").agg(F.sum(size("key") + size("value") + 9).alias("bytes"), F.count("*").alias("versions"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = keys.withColumn("table_no", F.floor(before / max_table_bytes).cast("long"))
+    placed = running_sum(keys, ["key"], F.col("bytes"), "before")
+    cut = placed.withColumn("table_no", F.floor(F.col("before") / max_table_bytes).cast("long"))
     return cut.groupBy("table_no").agg(
         F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum("versions").alias("versions"), F.sum("bytes").alias("bytes")
     )

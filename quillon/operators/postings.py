@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.morphology import Dictionary, main_forms
+from quillon.runtime import running_sum
 
 _DATE = r"\$[A-Za-z_]+:[0-9]{4}-[0-9]{2}-[0-9]{2}"
 #: The letters of the Russian profile; ё stands apart from the range а-я.
@@ -84,17 +85,9 @@ def postings(docs: DataFrame, profile: Profile = Profile(), config: IndexConfig
     return tokens.distinct() if profile.morph is not None else tokens
 
 
-def dictionary(tokens: DataFrame, lead: int = 2) -> DataFrame:
-    """(token, feature_id): distinct tokens numbered from 0 in byte order.
-
-    Tokens are numbered within their leading symbols, and the groups by their sizes, so no task orders all tokens.
-    """
-    distinct = tokens.select("token").distinct().withColumn("lead", F.substring("token", 1, lead))
-    sizes = distinct.groupBy("lead").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("lead").orderBy("token")) - 1
-    rows = distinct.withColumn("place", place).join(sizes.select("lead", before.alias("before")), "lead")
-    return rows.select("token", (F.col("before") + F.col("place")).cast("long").alias("feature_id"))
+def dictionary(tokens: DataFrame) -> DataFrame:
+    """(token, feature_id): distinct tokens numbered from 0 in byte order."""
+    return running_sum(tokens.select("token").distinct(), ["token"], F.lit(1), "feature_id")
 
 
 def encoded(rows: DataFrame, numbers: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:

@@ -6,9 +6,11 @@ packed form keeps one bitmap of 32768 ids a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.runtime import running_sum
+
 BUCKET = 32768
 
 
@@ -104,13 +106,9 @@ def pair_measures(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def ranked(ids: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """Each id with its 0-based place. Counts per id block come first, so no task sorts all ids."""
-    blocked = ids.withColumn("b", F.floor(F.col("doc_id") / block))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = blocked.groupBy("b").agg(F.count("*").alias("n")).select("b", before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("doc_id")) - 1
-    return blocked.withColumn("place", place).join(offsets, "b").select("doc_id", (F.col("before") + F.col("place")).cast("long").alias("place"))
+def ranked(ids: DataFrame) -> DataFrame:
+    """Each id with its 0-based place."""
+    return running_sum(ids.select("doc_id"), ["doc_id"], F.lit(1), "place")
 
 
 def select(ids: DataFrame, place: int) -> DataFrame:

@@ -341,7 +341,7 @@ for _name, (_f, _answer) in _SETS.items():
 
 @_query(f"WITH {_POST}, s AS ({_has('the')}) SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM s")
 def set_ranked(spark, sf_dir):
-    return sets.ranked(_pair(spark, sf_dir)[0], block=64)
+    return sets.ranked(_pair(spark, sf_dir)[0])
 
 
 @_query(f"WITH {_POST}, s AS ({_has('the')}) SELECT count(*) AS rank, CAST(CASE WHEN max(doc_id) = 333 THEN count(*) - 1 ELSE -1 END AS BIGINT) AS index FROM s WHERE doc_id <= 333")

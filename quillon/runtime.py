@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quillon", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -75,6 +76,24 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def running_sum(rows: DataFrame, keys: list, value, name: str) -> DataFrame:
+    """rows with the sum of `value` over all rows that sort before theirs by `keys`, as column `name` (long).
+
+    Rows are range-partitioned and written once; each range sums its own rows on top of what the ranges before it hold, so
+    no task orders everything and only a number per range is ordered in one place.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.withColumn("_value", value).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(rows.sparkSession, "running").table(ranged, "ranged")
+    sums = ranged.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    total = (F.col("_inside") + F.col("_before")).cast("long").alias(name)
+    return placed.join(F.broadcast(offsets), "_part").select(*rows.columns, total)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the Parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

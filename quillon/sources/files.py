@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import morphology
+from quillon.runtime import running_sum
 
 
-def documents(spark: SparkSession, path: str, order_lead: int = 64) -> DataFrame:
-    """(doc_id, path, text) of every file below path; ids number the paths in order, from 0.
-
-    Paths are numbered within groups of equal leading symbols whose sizes are summed first, so no task orders all paths.
-    """
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, path, text) of every file below path; ids number the paths in order, from 0."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    grouped = rows.withColumn("lead", F.substring("path", 1, order_lead))
-    sizes = grouped.groupBy("lead").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("lead").orderBy("path")) - 1
-    numbered = grouped.select("lead", "path", place.alias("place")).join(sizes.select("lead", before.alias("before")), "lead")
-    ids = numbered.select("path", (F.col("before") + F.col("place")).cast("long").alias("doc_id"))
-    return rows.join(ids, "path").select("doc_id", "path", "text")
+    return rows.join(running_sum(rows.select("path"), ["path"], F.lit(1), "doc_id"), "path").select("doc_id", "path", "text")
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:

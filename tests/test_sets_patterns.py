@@ -28,7 +28,7 @@ def test_set_algebra(spark):
     assert (m["n_and"], m["n_or"], m["n_andnot"], m["n_xor"], m["jaccard"]) == (2, 6, 3, 4, 2 / 6)
     assert sets.pair_measures(sets.of(spark, 2), b).first()["strict_subset"] and sets.pair_measures(b, b).first()["equal"]
     assert values(sets.complement(b, sets.between(spark, 0, 7))) == [0, 1, 4, 6]
-    assert [r["place"] for r in sets.ranked(a, block=2).orderBy("doc_id").collect()] == [0, 1, 2, 3, 4]
+    assert [r["place"] for r in sets.ranked(a).orderBy("doc_id").collect()] == [0, 1, 2, 3, 4]
 
 
 def test_packed_round_trip(spark):
