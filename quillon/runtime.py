@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,11 +33,14 @@ def build_session(app: str = "quillon", cpus: int | str = "*", **conf: str) -> S
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests, a laptop) a folder below the temp folder is chosen, and recorded in the session.
+    Where that is unset (tests, a laptop) a folder below the temp folder is chosen, recorded in the session, and deleted when
+    the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"quillon-scratch-{uuid.uuid4().hex[:12]}")
+        folder = os.path.join(tempfile.gettempdir(), f"quillon-scratch-{uuid.uuid4().hex[:12]}")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
