@@ -15,7 +15,7 @@ from quillon.functions import text as T
 from quillon.operators import kv, morphology, patterns, sets, symbols
 from quillon.operators import postings as P
 from quillon.plans import search
-from quillon.runtime import load
+from quillon.runtime import Scratch, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -177,6 +177,17 @@ def kv_overlap(spark, sf_dir):
     return kv.overlapping(kv.tables(log, 4096), 40, 60)
 
 
+def _compacted(policy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return kv.scan(kv.compact(_log(spark, sf_dir), Scratch(spark, "kv").path(policy), policy, partitions=6))
+
+    return run
+
+
+for _name in kv.POLICIES:
+    _query(_newest() + "SELECT key, value FROM newest WHERE op = 0", f"kv_compact_{_name}")(_compacted(_name))
+
+
 # --- words, dictionary, postings -----------------------------------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all(lower(text), '(\p{L}+)', 1)"
@@ -228,6 +239,12 @@ def index_get(spark, sf_dir):
     return P.docs_of(P.postings(_docs(spark, sf_dir)), "^the$")
 
 
+@_query(f"WITH {_POST} SELECT token, count(*) AS docs FROM post WHERE starts_with(token, '^an') GROUP BY token")
+def index_write(spark, sf_dir):
+    written = P.write(P.postings(_docs(spark, sf_dir)), Scratch(spark, "index").path("postings"))
+    return written.filter(F.col("token").startswith("^an")).groupBy("token").agg(F.count("*").alias("docs"))
+
+
 @_query(f"WITH {_POST} SELECT DISTINCT doc_id FROM post WHERE token >= '^er' AND token < '^es'")
 def index_scan(spark, sf_dir):
     return P.docs_between(P.postings(_docs(spark, sf_dir)), "^er", "^es")
@@ -423,6 +440,12 @@ def utf8_positions(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("size").alias("bytes"), F.sum(wide).alias("place_sum"))
 
 
+@_query()
+def symbol_describe(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.explode(T.symbols(F.col("text"))).alias("text")).distinct()
+    return symbols.describe(rows.withColumn("key", F.col("text")), "key").select("symbol", "hex", "class", "other_case")
+
+
 @_query("SELECT doc_id, text AS again FROM documents")
 def utf8_round_trip(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.from_code_points(T.code_points(F.col("text"))).alias("again"))
@@ -533,6 +556,11 @@ def morph_generate(spark, sf_dir):
     return morphology.generate(ask, _morph(spark))
 
 
+@_query()
+def morph_describe(spark, sf_dir):
+    return morphology.describe(_word_list(spark), _morph(spark))
+
+
 @_query("WITH a AS (SELECT CAST(l_orderkey * 31 % 65536 AS INTEGER) AS attr FROM lineitem GROUP BY 1) SELECT attr, attr & 31 AS tag_code, CASE WHEN attr & 31 = 1 THEN (attr >> 5) & 3 END AS noun_number, CASE WHEN attr & 31 = 1 THEN (attr >> 12) & 15 END AS noun_case FROM a")
 def pos_decode(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 31 % 65536).cast("int").alias("attr")).distinct()
