@@ -81,6 +81,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Lower the session's Arrow batches to `most` rows, for operators on whole texts: a worker holds one batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= most:
+        spark.conf.set(key, str(most))
+
+
 def running_sum(rows: DataFrame, keys: list, value, name: str) -> DataFrame:
     """rows with the sum of `value` over all rows that sort before theirs by `keys`, as column `name` (long).
 
