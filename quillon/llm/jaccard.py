@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.words import U64, chunks, mix, row_sets, shingles, split
-from quillon.runtime import Scratch
+from quillon.runtime import Scratch, small_batches
 
 #: A shingle counts as frequent if parts of the input that hold it PART_COUNT times or more add up to LEAST_COUNT; at most
 #: the HEAVY most frequent are told apart. A part is about _PART shingles.
@@ -73,15 +73,17 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "a", "b", "token", "count"]
-        held: list[np.ndarray] = []
+        held = np.empty(_PART, dtype=U64)
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            tokens, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= PART_COUNT
-            tokens, count = tokens[keep], count[keep]
+            part = held[:size]
+            part.sort()
+            far = PART_COUNT - 1
+            tokens = np.unique(part[far:][part[far:] == part[:-far]]) if size > far else part[:0]
+            count = np.searchsorted(part, tokens, side="right") - np.searchsorted(part, tokens)
             none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(tokens.view(np.int64)), pa.array(count.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(tokens.view(np.int64)), pa.array(count)], names)
 
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -93,13 +95,14 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 none = pa.nulls(part.num_rows, pa.int64())
                 ids = part.column("doc_id").cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(key[:, 0]), pa.array(key[:, 1]), none, none], names)
-                held.append(sets)
-                size += len(sets)
-                if size >= _PART:
-                    yield frequent()
-                    held, size = [], 0
-        if held:
-            yield frequent()
+                while len(sets):
+                    take = min(len(sets), _PART - size)
+                    held[size : size + take] = sets[:take]
+                    size, sets = size + take, sets[take:]
+                    if size == _PART:
+                        yield frequent()
+                        size = 0
+        yield frequent()
 
     return run
 
@@ -266,6 +269,7 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, scratch: Scratch) ->
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Near-duplicate classes of documents (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     source = docs.select("doc_id", "text")
     schema = "doc_id long, n long, a long, b long, token long, count long"

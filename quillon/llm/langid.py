@@ -24,10 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.words import chunks
+from quillon.runtime import small_batches
 
 UND = "und"
 BUCKETS = 1 << 16
 SEGMENT = 64
+#: Bytes of text that are worked on at a time; arrays hold about forty times as much.
+CHUNK = 500_000
 
 # First and last code point of the blocks that hold a script's letters. Code 0 is any other script.
 SCRIPTS = (
@@ -126,7 +129,7 @@ def fit(train: DataFrame, smooth: float = 0.5, least_share: float = 0.01) -> Mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK):
                 langs = np.array(part.column("lang").to_pylist(), dtype=object)
                 for lang in sorted(set(langs)):
                     chunk = _read(part.column("text").take(pa.array(np.flatnonzero(langs == lang))).to_pylist())
@@ -138,6 +141,7 @@ def fit(train: DataFrame, smooth: float = 0.5, least_share: float = 0.01) -> Mod
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], ["lang", "bucket", "n"])
 
+    small_batches(train.sparkSession)
     rows = train.filter("text is not null and lang is not null").select("text", "lang")
     counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counts.column("lang").to_pylist(), dtype=object)
@@ -210,6 +214,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
 
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, lang_pred, score and, if asked for, spans (start, end, lang) in code points of each text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -217,7 +222,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
         m: Model = shared.value
         names = np.array([*m.languages, UND], dtype=object)
         for batch in batches:
-            for part in chunks(batch, "text", 2_000_000):
+            for part in chunks(batch, "text", CHUNK):
                 n = part.num_rows
                 pred, score, found = np.full(n, len(m.languages)), np.zeros(n), [[] for _ in range(n)]
                 chunk = _read(part.column("text").to_pylist())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import Scratch
+from quillon.runtime import Scratch, small_batches
 
 #: Texts of these characters alone are split alike by both tokenizer libraries whatever their Unicode version.
 _PLAIN = re.compile(r"[\x20-\x7e\n\r\t¡-ɏ]*")
@@ -91,6 +91,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, ke
                 out["ids"] = pa.array(rows["ids"], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
+    small_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
 

@@ -110,7 +110,7 @@ def suffix_array(places: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.
         pad[: len(rank) - reach] = rank[reach:]
         rank = np.unique(rank << np.uint64(32) | pad, return_inverse=True)[1].astype(np.uint64)
         reach *= 2
-    return np.argsort(rank[:n], kind="stable").astype(np.int64), keys
+    return np.argsort(rank[:n]).astype(np.int64), keys
 
 
 def _bound(order: np.ndarray, keys: list[np.ndarray], wanted: np.ndarray, after: bool) -> np.ndarray:
@@ -142,7 +142,7 @@ class Edges:
         begin = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count)
         at = order[begin + np.arange(len(piece))]
         size = vocabulary.size[piece].astype(np.int64)
-        sort = np.argsort(at * 64 + size, kind="stable")
+        sort = np.argsort(at * 64 + size)
         at, size = at[sort], size[sort]
         self.piece = vocabulary.number[piece[sort]]
         self.mask = np.zeros(len(places), dtype=np.int64)
@@ -186,11 +186,11 @@ def relax(edges: Edges, order: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray
         shift = np.cumsum(keep) - 1
         at, size, unit, pair = at[keep], size[keep], unit[keep], pair[keep]
         hit = shift[hit]
-        touched = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+        touched = np.concatenate([hit, hit[hit > 0] - 1])
         if len(touched):
             pair[touched] = cost(touched)
     at, size = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (at, size)
-    sort = np.argsort(at, kind="stable")
+    sort = np.argsort(at)
     return at[sort], size[sort]
 
 

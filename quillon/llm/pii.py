@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import Scratch
+from quillon.runtime import Scratch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -169,6 +169,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             found = [[dict(zip(names, c, strict=True)) for c in of_text(text or "")] for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
 
+    small_batches(docs.sparkSession)
     ids = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {ids}, found array<struct<kind:int,start:int,end:int,votes:int,features:int>>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

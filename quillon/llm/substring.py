@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.jaccard import bloom, places
 from quillon.llm.words import U64, chunks, mix, split, windows
-from quillon.runtime import Scratch
+from quillon.runtime import Scratch, small_batches
 
 _PRINT_BITS = 24
 
@@ -258,6 +258,7 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True, keep: tuple[str
     window must be even. `texts`: whether to return kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "substring")
     block, buckets = window // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = [c for c in keep if c not in ("doc_id", "text")]

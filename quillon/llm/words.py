@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 _SLICE_WORDS = 150_000
 
 _SPACE = np.zeros(256, dtype=bool)
