@@ -267,11 +267,11 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True, keep: tuple[str
     probes = live.mapInArrow(_probes(block, buckets), _ANCHOR_ROW)
     anchors = probes.groupBy("bucket").applyInArrow(_anchors, "doc_id long, text_hash long, block int")
     anchors = scratch.table(anchors.groupBy("doc_id", "text_hash").agg(F.collect_set("block").alias("blocks")), "anchors")
-    near = _known(live, anchors.select(F.col("doc_id").alias("id")), inside=True).join(anchors, ["doc_id", "text_hash"])
+    near = _known(live, anchors.select(F.col("doc_id").alias("id")), inside=True).join(anchors.hint("merge"), ["doc_id", "text_hash"])
     repeats = near.mapInArrow(_windows(window, buckets), _WINDOW_ROW).groupBy("bucket").applyInArrow(_repeats, "doc_id long, text_hash long, low int, high int")
     ranges = scratch.table(repeats.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
     names = ranges.select(F.col("doc_id").alias("id"))
-    cut = _known(source, names, inside=True).join(ranges, ["doc_id", "text_hash"], "left")
+    cut = _known(source, names, inside=True).join(ranges.hint("merge"), ["doc_id", "text_hash"], "left")
     whole = _known(source, names, inside=False).withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
     names = ["doc_id", "text", *[f"more.{c}" for c in more], "ranges"]
     rows = whole.select(*names).unionByName(cut.select(*names))
