@@ -27,6 +27,34 @@ from quillon.runtime import Scratch, small_batches
 
 #: Texts of these characters alone are split alike by both tokenizer libraries whatever their Unicode version.
 _PLAIN = re.compile(r"[\x20-\x7e\n\r\t¡-ɏ]*")
+#: A run of blanks this long between visible ASCII characters or the ends of the text. The splitting patterns backtrack over
+#: such a run (one library overflows its stack); they would make one pre-token of it, less its last blank if text follows.
+_BLANKS = re.compile(r"(?:(?<=[!-~])|\A)[\x20\n\r\t]{4096,}(?=[!-~]|\Z)")
+#: Texts are encoded in parts of about this many characters, cut before a space that follows a visible ASCII character: a
+#: pre-token starts there in any case.
+_PART = 200_000
+_CUT = re.compile(r"(?<=[!-~])\x20")
+
+
+def parts(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text whose ids one after the other are the text's ids, and whether a part is one pre-token of blanks."""
+    at = 0
+    for run in _BLANKS.finditer(text):
+        low, high = run.span()
+        high -= high < len(text)
+        yield from ((part, False) for part in _cuts(text[at:low]))
+        if high > low:
+            yield text[low:high], True
+        at = high
+    yield from ((part, False) for part in _cuts(text[at:]))
+
+
+def _cuts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > _PART and (cut := _CUT.search(text, at + _PART)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,10 +76,15 @@ def load_tokenizer(name: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def ids(part: str, blanks: bool) -> list[int]:
+        if blanks:
+            return fast._encode_single_piece(part)
+        if _PLAIN.fullmatch(part) and not any(s in part for s in special):
+            return fast.encode_ordinary(part)
+        return exact.encode(part, add_special_tokens=False).ids
+
     def encode(text: str) -> np.ndarray:
-        if _PLAIN.fullmatch(text) and not any(s in text for s in special):
-            return np.array(fast.encode_ordinary(text), dtype="<u4")
-        return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.concatenate([np.array(ids(*part), dtype="<u4") for part in parts(text)])
 
     return encode
 

@@ -1,14 +1,18 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillon.llm import packing
 
+HF = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
 def check_layout(rows, capacity):
     by = {}
@@ -46,7 +50,6 @@ def test_pack_matches_the_tokenizer_library(spark):
     texts += [None, "", "a " * 4000, "the end " * 1023 + "the", "z" * 5000, texts[3], texts[3]]
     docs = spark.createDataFrame([(i, t, 1, "a") for i, t in enumerate(texts)], "doc_id long, text string, rank int, salt string")
     rows = packing.pack(docs, keep_ids=True).collect()
-    hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
         ids = got.setdefault(r["doc_id"], [])
@@ -54,7 +57,7 @@ def test_pack_matches_the_tokenizer_library(spark):
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         assert r["length"] == 2048 or r["piece"] == 0
         ids += r["ids"]
-    assert got == {i: [*hf.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got == {i: [*HF.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     check_layout(rows, 2048)
 
 
@@ -65,3 +68,19 @@ def test_pack_empty_and_repeated_rows(spark):
     rows = packing.pack(same, capacity=7).collect()
     assert len(rows) == 6
     assert check_layout(rows, 7) == 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the", " ", "\n", "\t", "\r\n", "  ", "日", "é", "\u3000", "\x85", "\xa0", ".", "12", "<|endoftext|>"]), max_size=40).map("".join), st.integers(1, 4), st.integers(1, 9))
+def test_parts_leave_the_ids_as_they_are(text, run, part):
+    encode = packing.load_tokenizer("byte_bpe_50k")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "_BLANKS", re.compile(packing._BLANKS.pattern.replace("4096", str(run))))
+        patch.setattr(packing, "_PART", part)
+        assert encode(text).tolist() == HF.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000 + "x", "z" * 5_000_000, "1" * 5_000_000, "a" + " \n\t" * 1_000_000 + "b c", "日" + " " * 1_000_000 + "!"], ids=["spaces", "lines", "letters", "digits", "mixed", "wide"])
+def test_long_runs_are_encoded(text):
+    ids = packing.load_tokenizer("byte_bpe_50k")(text)
+    assert ids.tolist() == HF.encode(text, add_special_tokens=False).ids
