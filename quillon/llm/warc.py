@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted into shards of about `shard_bytes` of payload, whose bounds depend on the data alone. A task streams
-its shard into gzip members, one per record, and rolls to a new file when the compressed size passes `roll_bytes`. Headers
+Pages are range-sorted into shards of about `shard_bytes` of payload, whose bounds depend on the data alone; a binary search
+over the bounds names each row's shard, and the shard names its partition, so none is sampled. A task streams its shards into gzip members, one per record, and rolls to a new file when the compressed size passes `roll_bytes`. Headers
 and digests are made anew. Files are written under names of the attempt, and only attempts whose manifest rows arrived are
 renamed to their final names, before the manifest itself is committed; a lost executor leaves unnamed files, no doubles.
 
@@ -22,16 +22,22 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.runtime import Scratch
+from quillon.runtime import Scratch, running_sum
 
 _DATE = "1970-01-01T00:00:00Z"
-_BINS = 4096
+#: Bounds are sent to all tasks: 16 MB at most. Beyond 64 TB of payload shards grow; they are streamed, so memory does not.
+MOST_SHARDS = 1 << 20
+#: Tasks that write or read; a task takes several shards or files beyond that.
+MOST_TASKS = 1 << 14
 _MANIFEST = "shard int, seq int, temp string, records long, bytes long, sha256 string"
 
 
@@ -85,54 +91,52 @@ def parse(data: bytes) -> dict:
     }
 
 
-def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """Ascending page_ids that part shards of about `shard_bytes` of payload; the same for the same rows.
+def _place(page_id: Column, html: Column) -> list[Column]:
+    """The key that rows are sorted and parted by: page_id, nulls first, then a hash of the payload, so that many payloads
+    under one page_id part as well."""
+    return [F.coalesce(page_id.cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(html, F.lit(""))).alias("hash")]
 
-    Sizes are summed in equal id ranges; ranges that hold too much are divided again, so crowded ids part as well.
+
+def shard_bounds(pages: DataFrame, shard_bytes: int) -> np.ndarray:
+    """First keys (id, hash) of all shards but the first, ascending: a shard holds about `shard_bytes` of payload.
+
+    Sizes are summed by key, and running sums over ranges of keys tell each key's shard: the same for the same rows,
+    whatever their number and order. Only a row per shard comes to the driver, of MOST_SHARDS at most.
     """
-    size = pages.select(F.col("page_id").cast("long").alias("id"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    low, high, total = size.agg(F.min("id"), F.max("id"), F.sum("n")).first()
-    if low is None or (total or 0) <= shard_bytes:
-        return []
-    parts = [(low, high)]
-    sums: list[tuple[int, int]] = []  # (first id, bytes)
-    while parts:
-        cut = [(a, max(1, -(-(b - a + 1) // max(1, _BINS // len(parts))))) for a, b in parts]
-        begin = F.lit(None).cast("long")
-        for (a, b), (_, width) in zip(parts, cut, strict=True):
-            inside = (F.col("id") >= a) & (F.col("id") <= b)
-            begin = F.when(inside, F.floor((F.col("id") - a) / width).cast("long") * width + a).otherwise(begin)
-        rows = size.select(begin.alias("at"), "n").filter("at is not null").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        widths = {a: w for a, w in cut}
-        starts = sorted(widths)
-        again = []
-        for r in rows:
-            width = widths[max(s for s in starts if s <= r["at"])]
-            if r["n"] > shard_bytes and width > 1:
-                again.append((r["at"], r["at"] + width - 1))
-            else:
-                sums.append((r["at"], r["n"]))
-        parts = sorted(again)
-    bounds, held = [], 0
-    for at, n in sorted(sums):
-        if held and held + n > shard_bytes:
-            bounds.append(at)
-            held = 0
-        held += n
-    return bounds
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+    keys = pages.select(*_place(F.col("page_id"), F.col("html")), size.alias("n")).groupBy("id", "hash").agg(F.sum("n").alias("n"))
+    placed = Scratch(pages.sparkSession, "warc").table(running_sum(keys, ["id", "hash"], F.col("n"), "before"), "placed")
+    total = placed.agg(F.coalesce(F.max(F.col("before") + F.col("n")), F.lit(0))).first()[0]
+    width = max(shard_bytes, -(-total // MOST_SHARDS))
+    firsts = placed.groupBy(F.floor(F.col("before") / width).alias("shard")).agg(F.min(F.struct("id", "hash")).alias("first"))
+    table = firsts.filter("shard > 0").select("first.id", "first.hash").toArrow()
+    bounds = np.column_stack([table.column("id").to_numpy(), table.column("hash").to_numpy()]).reshape(-1, 2)
+    return bounds[np.lexsort((bounds[:, 1], bounds[:, 0]))]
+
+
+def shards_of(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The shard of each key, by binary search: how many bounds are not above it."""
+    shard = np.searchsorted(bounds[:, 0], ids, side="left")
+    last = np.searchsorted(bounds[:, 0], ids, side="right")
+    for i in np.unique(ids[last > shard]):
+        mine = np.flatnonzero(ids == i)
+        low, high = shard[mine[0]], last[mine[0]]
+        shard[mine] = low + np.searchsorted(bounds[low:high, 1], hashes[mine], side="right")
+    return shard.astype(np.int32)
 
 
 def revisits(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, digest, refers_to, first) of the payloads that occur more than once; first: this page holds the response.
+    """(page_id, id, hash, digest, refers_to, first) of the payloads that occur more than once; first: this page holds the response.
 
     The responses are written before the join, so the engine can split a digest that many pages share.
     """
-    bare = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    meta = bare.filter(F.col("page_id").isNotNull() & (F.octet_length("payload") >= least)).select("page_id", F.sha2("payload", 256).alias("digest"))
+    bare = pages.select("page_id", *_place(F.col("page_id"), F.col("html")), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    large = bare.filter(F.col("page_id").isNotNull() & (F.octet_length("payload") >= least))
+    meta = large.select("page_id", "id", "hash", F.sha2("payload", 256).alias("digest"))
     kept = meta.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     kept = Scratch(pages.sparkSession, "warc").table(kept.select("digest", "refers_to"), "responses")
     marks = meta.join(kept, "digest")
-    return marks.select("page_id", "digest", "refers_to", (F.col("page_id") == F.col("refers_to")).alias("first"))
+    return marks.select("page_id", "id", "hash", "digest", "refers_to", (F.col("page_id") == F.col("refers_to")).alias("first"))
 
 
 def write(
@@ -148,18 +152,23 @@ def write(
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
-    bounds = shard_bounds(pages, shard_bytes)
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    shard = F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col("page_id"))), F.lit(0)).cast("int")
+    bounds = spark.sparkContext.broadcast(shard_bounds(pages, shard_bytes))
+    tasks = min(len(bounds.value) + 1, MOST_TASKS)
+
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(shards_of(bounds.value, ids.to_numpy(), hashes.to_numpy()))
+
+    none = lambda kind: F.lit(None).cast(kind)
     full = pages.select(
-        "page_id", "url", "html", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"), F.lit(1).alias("kind"),
-        F.lit(None).cast(kind).alias("refers_to"), F.lit(None).cast("boolean").alias("first"),
+        "page_id", *_place(F.col("page_id"), F.col("html")), "url", "html", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256).alias("digest"),
+        F.lit(1).alias("kind"), none(kind).alias("refers_to"), none("boolean").alias("first"),
     )
     marks = revisits(pages, least).select(
-        "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to", "first"
+        "page_id", "id", "hash", none("string").alias("url"), none("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to", "first"
     )
-    rows = full.unionByName(marks).withColumn("shard", shard)
-    placed = rows.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    rows = full.unionByName(marks).withColumn("shard", shard("id", "hash"))
+    placed = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "id", "hash", "digest", "kind", "url")
     temp = f"{path}/_temporary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +230,14 @@ def _commit(spark: SparkSession, path: str, temp: str, files: list[dict]) -> lis
     at = jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at(path))
-    for f in files:
+
+    def rename(f: dict) -> None:
         f["name"] = f"part-{f['shard']:06d}-{f['seq']:05d}.warc.gz"
         if not fs.rename(at(f"{temp}/{f['temp']}"), at(f"{path}/{f['name']}")):
             raise OSError(f"cannot rename {f['temp']} to {f['name']}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(rename, files))
     manifest = [{k: f[k] for k in ("name", "records", "bytes", "sha256")} for f in files]
     stream = fs.create(at(f"{path}/_manifest.tmp"), True)
     stream.write(bytearray(json.dumps(manifest, indent=1).encode()))
@@ -257,8 +270,9 @@ def read(spark: SparkSession, path: str, manifest: list[dict], payload: bool = F
 
     if not manifest:
         return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(f["name"], f["sha256"]) for f in manifest], "name string, sha256 string")
-    return listed.repartition(len(manifest), "name").mapInArrow(run, schema)
+    tasks = min(len(manifest), MOST_TASKS)
+    listed = spark.createDataFrame([(f["name"], f["sha256"], i % tasks) for i, f in enumerate(manifest)], "name string, sha256 string, task int")
+    return listed.repartitionById(tasks, "task").mapInArrow(run, schema)
 
 
 def _batch(rows: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:

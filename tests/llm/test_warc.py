@@ -2,6 +2,10 @@ import gzip
 import hashlib
 import random
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from quillon.llm import warc
 from quillon.runtime import Scratch
 
@@ -47,3 +51,26 @@ def test_empty_and_tiny(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(5, None, None, None, None)]
     assert warc.archive(spark.createDataFrame(rows, SCHEMA)).collect()[0]["payload_bytes"] == 0
+
+
+def test_very_many_shards_and_hot_ids(spark):
+    rows = [(i if i % 3 else 7, "u", f"{i:05d}" * 8, None, None) for i in range(12_000)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    bounds = warc.shard_bounds(pages, 40)
+    assert len(bounds) == 11_999, "each page is a shard of its own, those of the hot id too"
+    again = warc.shard_bounds(pages.repartition(3), 40)
+    assert (bounds == again).all()
+    path = Scratch(spark, "test").path("w")
+    manifest = warc.write(pages, path, shard_bytes=4000)
+    assert 100 < len(manifest) < 130 and max(f["records"] for f in manifest) <= 101
+    got = warc.read(spark, path, manifest).collect()
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=str) == brute(rows)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-3, 3)), max_size=12), st.lists(st.tuples(st.integers(-4, 4), st.integers(-4, 4)), min_size=1, max_size=20))
+def test_shards_of_counts_the_bounds_below(bounds, keys):
+    bounds = sorted(bounds)
+    table = np.array(bounds, dtype=np.int64).reshape(-1, 2)
+    ids, hashes = np.array(keys, dtype=np.int64).T
+    assert warc.shards_of(table, ids, hashes).tolist() == [sum(b <= k for b in bounds) for k in keys]
