@@ -9,11 +9,11 @@ def brute(rows, every, k=5):
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             clean[i] = min(clean.get(i, v), v)
-    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in clean.items()}
+    ints = {i: [int(np.nan_to_num(np.floor(np.float64(256) * x))) for x in v] for i, v in clean.items()}
     out = set()
     for q in ints:
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+            scored = sorted((-min(max(sum(a * b for a, b in zip(ints[q], v)), -(2**63)), 2**63 - 1), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
     return out
 
@@ -40,3 +40,21 @@ def test_few_and_none(spark):
     rows = [(0, [0.1, 0.2]), (1, [0.3, -0.4]), (2, [0.3, -0.4])]
     assert run(spark, rows, 1) == brute(rows, 1)
     assert run(spark, [], 1) == set()
+
+
+def test_scores_beyond_a_long_reach_the_top(spark):
+    rows = [(i, [3e7] * 8) for i in range(3)] + [(3, [1e8] * 8), (4, [1e9] * 8), (5, [-1e9] * 8), (6, [0.5] * 8), (7, [1e15] * 8), (8, [-1e300] * 8), (9, [1e308] + [1.0] * 7)]
+    got = run(spark, rows, 1)
+    assert got == brute(rows, 1)
+    assert max(r[3] for r in got) == 2**63 - 1
+
+
+def test_cutoffs_leave_blocks_unread(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 50)
+    met = []
+    monkeypatch.setattr(topk.Scratch, "table", lambda self, df, label, keep=topk.Scratch.table: met.append(keep(self, df, label)) or met[-1])
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=16) * 2.0 ** -(i // 100)).tolist()) for i in range(1000)]
+    assert run(spark, rows, 10) == brute(rows, 10)
+    pairs = next(t for t in met if "cutoff" in t.columns and "block" in t.columns).count()
+    assert pairs < 0.5 * 100 * 20, "most pairs of a query and a block are bounded away"
