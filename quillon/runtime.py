@@ -33,11 +33,13 @@ def build_session(app: str = "quillon", cpus: int | str = "*", **conf: str) -> S
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests, a laptop) a folder below the temp folder is chosen, recorded in the session, and deleted when
-    the process ends.
+    Where that is unset and the master is local (tests, a laptop) a folder below the temp folder is chosen, recorded in the
+    session, and deleted when the process ends. A cluster without it is an error: its executors share no local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         folder = os.path.join(tempfile.gettempdir(), f"quillon-scratch-{uuid.uuid4().hex[:12]}")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
@@ -48,11 +50,20 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: each is Parquet in the shared scratch folder, so lost executors lose nothing."""
 
+    made: list[str] = []  # roots of this process
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.made.append(self.root)
         self._n = 0
 
+    @classmethod
+    def sweep(cls, spark: SparkSession) -> None:
+        """Delete every scratch table of this process. Results that were returned and not yet written read them: call last."""
+        while cls.made:
+            delete(spark, cls.made.pop())
+
     def path(self, label: str) -> str:
         """A new path below this scratch folder."""
         self._n += 1
@@ -74,11 +85,30 @@ class Scratch:
                 delete(self.spark, table.scratch_path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path names, and the path on it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system its path names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete a folder."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file or folder within one file system; folders above the new place are made."""
+    fs, target = _file_system(spark, path)
+    place = _file_system(spark, to)[1]
+    fs.mkdirs(place.getParent())
+    if not fs.rename(target, place):
+        raise OSError(f"cannot rename {path} to {to}")
 
 
 def small_batches(spark: SparkSession, most: int = 2000) -> None:
