@@ -1,8 +1,9 @@
 """Secret scan over an incremental blob ledger, in DataFrame expressions only.
 
 Every version of a text is addressed by the SHA-256 of its bytes. A ledger names the (blob, rule version) pairs scanned so
-far with their findings; a run scans each unseen pair once, however many paths or versions carry the blob, and joins the
-findings back to all of them.
+far with their findings, and is kept as Parquet, a folder per rule version and run; a run scans each unseen pair once,
+however many paths or versions carry the blob, adds its findings to the ledger by one rename, and joins the findings back to
+all versions. The rule version is a digest of the rules, so an edited rule scans everything anew.
 
 Offsets come from the gaps between matches: splitting at a pattern and extracting its matches see the same leftmost,
 non-overlapping matches, so running sums of code-point lengths give each start.
@@ -13,12 +14,14 @@ empty result; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.runtime import Scratch
+from quillon.runtime import exists, rename
 
 # Letters in either case are spelled as classes: case-insensitive flags also match letters beyond ASCII in some engines.
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -46,10 +49,38 @@ RULES = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("hosted", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35})"),
 )
-VERSION = "2024.1"
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
 
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A name for these rules; any edit gives another."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+class Ledger:
+    """The findings of every (blob, rule version) pair scanned so far, below a path that all executors reach."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, version: str) -> str:
+        return f"{self.path}/rules={version}"
+
+    def findings(self, version: str) -> DataFrame:
+        """(blob, spans) of all blobs that this rule version has seen; one row per blob and run."""
+        schema = f"blob string, spans {_SPAN}"
+        if not exists(self.spark, self._folder(version)):
+            return self.spark.range(0).select(F.lit("").alias("blob"), F.array().cast(_SPAN).alias("spans"))
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self._folder(version))
+
+    def add(self, version: str, fresh: DataFrame) -> None:
+        """Add the findings of one run. They appear by one rename: a run that fails leaves the ledger as it was."""
+        run = uuid.uuid4().hex
+        staged = f"{self.path}/_staged-{run}"
+        fresh.select("blob", "spans").write.option("compression", "zstd").parquet(staged)
+        rename(self.spark, staged, f"{self._folder(version)}/run-{run}")
+
+
 def _matches(rule: Rule, text: Column) -> Column:
     """Spans of one rule, in order of start."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -83,29 +114,20 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", F.transform(F.array_sort(keyed), lambda k: k["span"]).alias("spans"))
 
 
-def scan_versions(
-    versions: DataFrame,
-    ledger: DataFrame | None = None,
-    rules: tuple[Rule, ...] = RULES,
-    rule_version: str = VERSION,
-) -> tuple[DataFrame, DataFrame]:
-    """Scan the unseen blobs of a history.
+def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan the unseen blobs of a history and return the versions with `blob` and `spans`.
 
-    versions: a row per path and version, with the text in `text`. ledger: blob, rule_version, spans of earlier runs.
-    Returns the versions with `blob` and `spans`, and the new ledger.
+    versions: a row per path and version, with the text in `text`. The ledger grows by what was unseen. Two runs at once may
+    scan a blob twice; its findings are equal and count once.
     """
-    scratch = Scratch(versions.sparkSession, "secrets")
+    version = version_of(rules)
     text = F.coalesce(F.col("text"), F.lit(""))
     unique = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        unique = unique.join(seen, "blob", "left_anti")
-    fresh = scratch.table(scan(unique, rules).withColumn("rule_version", F.lit(rule_version)), "findings")
-    whole = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
-    known = whole.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    ledger.add(version, scan(unique.join(ledger.findings(version).select("blob"), "blob", "left_anti"), rules))
+    known = ledger.findings(version).filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
     addressed = versions.drop("spans", "blob").withColumn("blob", F.sha2(text, 256))
     rows = addressed.join(known, "blob", "left")
-    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN))), whole
+    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import secrets
+from quillon.runtime import Scratch
 
 PLAIN = {
     "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -29,7 +31,8 @@ def test_scan_matches_the_plain_patterns(spark):
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(30))) for _ in range(600)]
     texts += [None, "", "secret=token: abcdefgh", "a" * 100_000, "0" * 100_000, "token=" * 20_000, texts[5], texts[5]]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, blob string")
-    rows, ledger = secrets.scan_versions(docs)
+    ledger = fresh_ledger(spark)
+    rows = secrets.scan_versions(docs, ledger)
     got = {r["doc_id"]: r for r in secrets.digest(rows).collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
@@ -38,22 +41,50 @@ def test_scan_matches_the_plain_patterns(spark):
         assert set(want) <= set(filter(None, got[i]["spans"].split(",")))
         assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(s.startswith(k) for s in want) for k in PLAIN]
     assert any("hosted" in r["spans"] for r in got.values())
-    assert ledger.count() == len({t or "" for t in texts})
+    assert ledger.findings(secrets.version_of(secrets.RULES)).count() == len({t or "" for t in texts})
 
 
-def test_ledger_skips_seen_blobs(spark):
+def fresh_ledger(spark):
+    return secrets.Ledger(spark, Scratch(spark, "test").path("ledger"))
+
+
+def test_the_ledger_holds_what_is_scanned(spark):
+    version, ledger = secrets.version_of(secrets.RULES), fresh_ledger(spark)
     first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "clean")], "doc_id long, text string")
-    _, ledger = secrets.scan_versions(first)
-    marked = ledger.withColumn("spans", F.transform("spans", lambda s: s.withField("start", s["start"] + 1000)))
+    secrets.scan_versions(first, ledger).collect()
+    assert ledger.findings(version).count() == 2
+    before = ledger.findings(version).inputFiles()
+    secrets.scan_versions(first.unionByName(first), ledger).collect()
+    new = set(ledger.findings(version).inputFiles()) - set(before)
+    assert spark.read.parquet(*new).count() == 0 if new else True, "a second run over the same texts scans nothing"
+    assert ledger.findings(version).count() == 2
     later = spark.createDataFrame([(1, "token=abcdefgh"), (3, "token=zzzzzzzz"), (4, None)], "doc_id long, text string")
-    rows, grown = secrets.scan_versions(later, marked)
-    found = {r["doc_id"]: [s["start"] for s in r["spans"]] for r in rows.collect()}
-    assert found == {1: [1000], 3: [0], 4: []}, "a seen blob keeps what the ledger says"
-    assert grown.count() == 4
-    again, _ = secrets.scan_versions(later, marked, rule_version="next")
-    assert {r["doc_id"]: [s["start"] for s in r["spans"]] for r in again.collect()}[1] == [0]
+    found = {r["doc_id"]: [s["start"] for s in r["spans"]] for r in secrets.scan_versions(later, ledger).collect()}
+    assert found == {1: [0], 3: [0], 4: []}
+    assert ledger.findings(version).count() == 4
+    edited = (*secrets.RULES, secrets.Rule("word", "clean"))
+    again = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_versions(first, ledger, edited).collect()}
+    assert again == {1: ["assign"], 2: ["word"]}, "edited rules scan everything anew"
+    assert ledger.findings(version).count() == 4 and ledger.findings(secrets.version_of(edited)).count() == 2
+
+
+def test_a_seen_blob_keeps_what_the_ledger_says(spark):
+    version, ledger = secrets.version_of(secrets.RULES), fresh_ledger(spark)
+    docs = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    findings = secrets.scan(docs.select(F.sha2("text", 256).alias("blob"), "text"))
+    ledger.add(version, findings.withColumn("spans", F.transform("spans", lambda s: s.withField("start", s["start"] + 1000))))
+    assert secrets.scan_versions(docs, ledger).first()["spans"][0]["start"] == 1000
+
+
+def test_a_failed_run_leaves_the_ledger(spark):
+    version, ledger = secrets.version_of(secrets.RULES), fresh_ledger(spark)
+    docs = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    with pytest.raises(Exception, match="broken"):
+        secrets.scan_versions(docs.withColumn("text", F.raise_error(F.lit("broken")).cast("string")), ledger)
+    assert ledger.findings(version).count() == 0
 
 
 def test_empty_table(spark):
-    rows, ledger = secrets.scan_versions(spark.createDataFrame([], "doc_id long, text string"))
-    assert secrets.digest(rows).count() == 0 and ledger.count() == 0
+    ledger = fresh_ledger(spark)
+    rows = secrets.scan_versions(spark.createDataFrame([], "doc_id long, text string"), ledger)
+    assert secrets.digest(rows).count() == 0 and ledger.findings(secrets.version_of(secrets.RULES)).count() == 0
