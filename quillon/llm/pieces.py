@@ -2,12 +2,14 @@
 
 A text is written with U+2581 for spaces and one before it, and falls into units: a run of U+2581 and what follows up to the
 next one. No piece crosses a unit, so a batch encodes each unit it has not met before once.
-1. The new units are concatenated and indexed by a suffix array over as many symbols as the longest piece has.
+1. The new units are concatenated and indexed by suffix arrays over as many symbols as the longest piece has, each over a part
+   of bounded size that reaches into the next one by that many symbols.
 2. Every piece of the vocabulary is binary-searched for the range of suffixes that start with it; each occurrence is an edge
    from its first to its last symbol.
 3. Edges are sorted by position, and a mask of lengths per position makes finding one a step.
-4. Relaxing: in rounds, each unit replaces its best-scored pair of neighbours that an edge spans, the leftmost of equals,
-   until none is left. That is the rule of a byte-pair model, whose result is not the cheapest path through the edges.
+4. Relaxing: units fall apart where no edge crosses. In rounds, each part replaces its best-scored pair of neighbours that an
+   edge spans, the leftmost of equals, until none is left; a long part takes the same pairs from a heap, as it would need a
+   round for each. That is the rule of a byte-pair model, whose result is not the cheapest path through the edges.
 
 Symbols that no piece spells become their UTF-8 bytes. Ids equal those of the sentencepiece library.
 
@@ -22,6 +24,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,10 @@ from quillon.llm.words import chunks
 
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
-#: Units of more symbols are merged one by one.
+#: Parts of units with more symbols take their pairs from a heap instead of in rounds; the result is the same.
 LONG = 200
+#: Symbols that one suffix array indexes.
+INDEXED = 400_000
 #: Units remembered between the batches of a task, at most.
 KEPT = 400_000
 _NONE = np.int32(2**31 - 1)
@@ -135,19 +140,32 @@ class Edges:
     """Occurrences of pieces of two symbols and more in the concatenated units, sorted by position, then length."""
 
     def __init__(self, vocabulary: Vocabulary, places: np.ndarray) -> None:
-        order, keys = suffix_array(places, vocabulary.longest)
+        found = [self._part(vocabulary, places, low) for low in range(0, len(places), INDEXED)] or [(np.zeros(0, np.int64),) * 3]
+        at, size, self.piece = (np.concatenate(c) for c in zip(*found, strict=True))
+        self.mask = np.zeros(len(places), dtype=np.int64)
+        np.bitwise_or.at(self.mask, at, np.int64(1) << size)
+        self.first = np.searchsorted(at, np.arange(len(places)))
+        reach = np.zeros(len(places) + 1, dtype=np.int64)
+        np.maximum.at(reach, at, at + size)
+        #: Whether an edge spans this position and the one before it.
+        self.crossed = np.maximum.accumulate(reach)[:-1]
+        self.crossed = np.append(False, self.crossed[:-1] > np.arange(1, len(places))) if len(places) else np.zeros(0, bool)
+
+    @staticmethod
+    def _part(vocabulary: Vocabulary, places: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges that start in one indexed part: positions, symbols and pieces."""
+        own = min(INDEXED, len(places) - low)
+        order, keys = suffix_array(places[low : low + own + vocabulary.longest], vocabulary.longest)
         first = _bound(order, keys, vocabulary.low, after=False)
         count = np.maximum(_bound(order, keys, vocabulary.high, after=True) - first, 0)
         piece = np.repeat(np.arange(len(count)), count)
         begin = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count)
         at = order[begin + np.arange(len(piece))]
+        inside = at < own
+        at, piece = at[inside], piece[inside]
         size = vocabulary.size[piece].astype(np.int64)
         sort = np.argsort(at * 64 + size)
-        at, size = at[sort], size[sort]
-        self.piece = vocabulary.number[piece[sort]]
-        self.mask = np.zeros(len(places), dtype=np.int64)
-        np.bitwise_or.at(self.mask, at, np.int64(1) << size)
-        self.first = np.searchsorted(at, np.arange(len(places)))
+        return at[sort] + low, size[sort], vocabulary.number[piece[sort]]
 
     def find(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Piece ids of the edges that start at `at` with `size` symbols; -1 where there is none."""
@@ -194,40 +212,44 @@ def relax(edges: Edges, order: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray
     return at[sort], size[sort]
 
 
-def merge_long(vocabulary: Vocabulary, unit: str) -> list[int]:
-    """The same merges for one long unit, by a heap."""
-    ends = list(range(1, len(unit) + 1))  # end of the symbol that starts here
-    before = list(range(-1, len(unit) - 1))  # start of the symbol before
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        if a >= 0 and ends[a] < len(unit):
-            b = ends[a]
-            piece = vocabulary.ids.get(unit[a : ends[b]]) if ends[b] - a <= vocabulary.longest else None
-            if piece is not None:
-                heapq.heappush(heap, (int(vocabulary.order[piece]), a, b, ends[b]))
-
-    for a in range(len(unit)):
-        offer(a)
-    gone = [False] * len(unit)
+def relax_long(edges: Edges, order: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """relax() for one long part, positions low to high-1, by a heap of its pairs."""
+    n = high - low
+    ends = array("q", range(1, n + 1))  # end of the symbol that starts here; 0 once it is part of another
+    before = array("q", range(-1, n - 1))  # start of the symbol before
+    first, mask, piece = edges.first[low:high], edges.mask[low:high], edges.piece
+
+    def entry(a: int) -> int:
+        """Place of the piece that symbol a and the next one make, position and size, as one number; -1 if there is none."""
+        if a < 0 or ends[a] >= n:
+            return -1
+        size = ends[ends[a]] - a
+        if size > 62 or not (bits := int(mask[a])) >> size & 1:
+            return -1
+        place = int(order[piece[int(first[a]) + (bits & ((1 << size) - 1)).bit_count()]])
+        return (place << 40 | a) << 6 | size
+
+    start = np.arange(n - 1)
+    place = edges.find(low + start, np.full(n - 1, 2))
+    has = start[place >= 0]
+    heap = ((order[place[has]].astype(np.int64) << 40 | has) << 6 | 2).tolist()
+    heapq.heapify(heap)
     while heap:
-        _, a, b, end = heapq.heappop(heap)
-        if gone[a] or gone[b] or ends[a] != b or ends[b] != end:
+        code = heapq.heappop(heap)
+        size, a = code & 63, code >> 6 & (1 << 40) - 1
+        b = ends[a]
+        if not b or b >= n or not ends[b] or ends[b] - a != size:
             continue
-        ends[a] = end
-        gone[b] = True
-        if end < len(unit):
+        end = ends[a] = a + size
+        ends[b] = 0
+        if end < n:
             before[end] = a
-        offer(a)
-        offer(before[a])
-    out: list[int] = []
-    a = 0
-    while a < len(unit):
-        part = unit[a : ends[a]]
-        piece = vocabulary.ids.get(part)
-        out += [piece] if piece is not None else vocabulary.byte[list(part.encode("utf-8", "surrogatepass"))].tolist()
-        a = ends[a]
-    return out
+        for c in (a, before[a]):
+            if (e := entry(c)) >= 0:
+                heapq.heappush(heap, e)
+    stops = np.frombuffer(ends, dtype=np.int64)
+    at = np.flatnonzero(stops)
+    return at + low, stops[at] - at
 
 
 class Encoder:
@@ -241,16 +263,24 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         v = self.vocabulary
-        short = [u for u in units if len(u) <= LONG]
-        codes = np.frombuffer("\0".join(short).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        sizes = np.array([len(u) for u in short], dtype=np.int64)
-        unit = np.full(len(codes), -1, dtype=np.int64)
-        starts = np.append(0, np.cumsum(sizes + 1)[:-1]) if short else sizes
-        inside = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()) if short else sizes
-        unit[inside] = np.repeat(np.arange(len(short)), sizes)
-        places = np.where(unit >= 0, v.places(codes), 0)
+        codes = np.frombuffer("\0".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        starts = np.append(0, np.cumsum(sizes + 1)[:-1])
+        unit = np.repeat(np.arange(len(units)), np.append(sizes[:-1] + 1, sizes[-1:]))
+        gap = np.zeros(len(codes), dtype=bool)
+        gap[starts[1:] - 1] = True
+        places = np.where(gap, 0, v.places(codes))
         edges = Edges(v, places)
-        at, size = relax(edges, v.order, unit)
+        part = np.cumsum(~edges.crossed) - 1  # a gap is a part of its own, and so is a symbol in no edge
+        heads = np.flatnonzero(~edges.crossed)
+        long = np.diff(np.append(heads, len(codes))) > LONG
+        merged = [relax(edges, v.order, np.where(gap | long[part], -1, part))]
+        for i in np.flatnonzero(long).tolist():
+            merged.append(relax_long(edges, v.order, int(heads[i]), int(heads[i + 1]) if i + 1 < len(heads) else len(codes)))
+        at, size = (np.concatenate(c) for c in zip(*merged, strict=True))
+        if long.any():
+            sort = np.argsort(at)
+            at, size = at[sort], size[sort]
         ids = np.where(size > 1, edges.find(at, size), v.single[places[at]])
         owner = unit[at]
         missing = np.flatnonzero(ids < 0)
@@ -262,15 +292,10 @@ class Encoder:
             grown = np.repeat(ids, width)
             grown[grown < 0] = np.concatenate(spelled)
             ids = grown
-        counts = dict(zip(short, np.bincount(owner, minlength=len(short)).tolist(), strict=True)) if short else {}
-        parts, bounds, at = [], [int(self.bounds[-1])], 0
-        order = short + [u for u in units if len(u) > LONG]
-        long = [np.array(merge_long(v, u), dtype=np.int32) for u in order[len(short) :]]
-        for u in order:
+        for u in units:
             self.known[u] = len(self.known)
-        lengths = np.array([counts[u] for u in short] + [len(x) for x in long], dtype=np.int64)
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32), *long])
-        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(lengths))
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(np.bincount(owner, minlength=len(units))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the bounds of the texts."""

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +64,30 @@ def test_suffix_array_and_ranges():
 
 def test_empty_table(spark):
     assert pieces.encode_decode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def encode(texts):
+    ids, bounds = pieces.Encoder(pieces.load_vocabulary(MODEL)).encode(texts)
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abdeinorst日本の言語é\0", max_size=60), max_size=5), st.integers(1, 12), st.integers(16, 60))
+def test_long_parts_and_small_indexes_change_nothing(texts, long, indexed):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pieces, "LONG", long)
+        patch.setattr(pieces, "INDEXED", indexed)
+        assert encode(texts) == LIB.encode(texts)
+
+
+def test_unspaced_texts():
+    rng = random.Random(8)
+    words = ["the", "ing", "over", "日本", "言語", "の", "tion", "x", "12", "zq"]
+    texts = ["".join(rng.choice(words) for _ in range(n)) for n in (300, 5000, 60_000)] + ["日本語の文章" * 3000, "e" * 20_000, "return" * 4000 + "{" * 500]
+    assert encode(texts) == LIB.encode(texts)
+
+
+def test_a_million_unspaced_letters():
+    rng = random.Random(9)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert encode([text]) == LIB.encode([text])
