@@ -2,10 +2,12 @@
 
 Unit vectors are cut in halves with a codebook each; the pair of nearest codewords is a vector's cell on the product grid.
 A half's excess for a codeword is its distance to the plane between that codeword and its own one, so a neighbour at that
-displacement can lie across. Cells are visited from the vector's own outwards, in order of the summed squares of both
-excesses (the multi-sequence order), until `recall` of neighbours just at the threshold would have been met; the radius for
-that is measured on displaced sample vectors. Every vector is indexed and probes; pairs in a visited cell are verified by
-cosine in double precision, and a pair that both sides find counts once for each.
+displacement can lie across; for neighbours just at the threshold, in any direction, the chance of that is known. Each vector
+walks the two sorted lists of excesses with a heap (the multi-sequence traversal), cells in order of the summed squares from
+its own one outwards, and stops where the chances of all cells left add up to less than 1 - `recall`. Codebooks grow with the
+cube root of the number of vectors, so the share of all vectors that one meets falls as the table grows. Every vector is
+indexed and probes; pairs in a visited cell are verified by cosine in double precision, and a pair that both sides find
+counts once for each.
 
 Copies of a vector share one representative with their number. A cell is cut into blocks of index rows and blocks of probes
 that meet pairwise, so a crowded cell is many tasks; a task returns sums of links per vector and a spanning forest of its
@@ -18,6 +20,8 @@ links with each other; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +35,8 @@ from quillon.runtime import Scratch
 
 #: The codebooks are fitted to at most this many vectors, those with the smallest hashes.
 SAMPLE = 8192
-CODEWORDS = 16
+#: Codewords of each half for up to WORDS_FOR vectors; more vectors get more, by the cube root, up to MOST_WORDS.
+CODEWORDS, WORDS_FOR, MOST_WORDS = 24, 50_000, 512
 BLOCK = 2048
 _FOUND = "id long, n long, u long, v long"
 
@@ -65,36 +70,61 @@ def excess(half: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return own, np.maximum(plane, 0.0) ** 2
 
 
+def codewords(vectors: int) -> int:
+    return min(MOST_WORDS, max(CODEWORDS, round(CODEWORDS * (vectors / WORDS_FOR) ** (1 / 3))))
+
+
+_ERFC = np.frompyfunc(math.erfc, 1, 1)
+
+
+def traverse(first: list[float], second: list[float], chance: tuple[list[float], list[float]], left: float, recall: float) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of places in two ascending lists in order of their summed costs, until what is left is below 1 - recall.
+
+    chance: the probability of each place; left: of all pairs together. Each pair is reached along one way only.
+    """
+    heap = [(first[0] + second[0], 0, 0)]
+    while heap:
+        _, i, j = heapq.heappop(heap)
+        yield i, j
+        left -= chance[0][i] * chance[1][j]
+        if left <= 1 - recall:
+            return
+        if j + 1 < len(second):
+            heapq.heappush(heap, (first[i] + second[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(first):
+            heapq.heappush(heap, (first[i + 1] + second[0], i + 1, 0))
+
+
 class Codebooks:
-    """The product grid for vectors of one length, with the squared radius that a traversal covers."""
-
-    def __init__(self, sample: np.ndarray, threshold: float, recall: float, codewords: int) -> None:
-        self.cut = max(1, sample.shape[1] // 2)
-        self.first = kmeans(sample[:, : self.cut], codewords)
-        self.second = kmeans(sample[:, self.cut :], codewords) if sample.shape[1] > self.cut else np.zeros((1, 0))
-        rng = np.random.default_rng(11)
-        away = rng.normal(size=sample.shape)
-        away -= (away * sample).sum(1, keepdims=True) * sample
-        norm = np.linalg.norm(away, axis=1, keepdims=True)
-        moved = threshold * sample + (1 - threshold**2) ** 0.5 * np.divide(away, norm, out=np.zeros_like(away), where=norm > 0)
-        _, need = self.grid(sample)
-        own, _ = self.grid(moved)
-        rows = np.arange(len(sample))
-        self.radius = float(np.quantile(need[rows, own], recall))
-
-    def grid(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own cell of each row, and the summed squared excess of every cell."""
-        one, first = excess(vectors[:, : self.cut], self.first)
-        two, second = excess(vectors[:, self.cut :], self.second)
-        return one * len(self.second) + two, (first[:, :, None] + second[:, None, :]).reshape(len(vectors), -1)
+    """The product grid for vectors of one length."""
+
+    def __init__(self, sample: np.ndarray, threshold: float, recall: float, words: int) -> None:
+        dim = sample.shape[1]
+        self.cut = max(1, dim // 2)
+        self.first = kmeans(sample[:, : self.cut], words)
+        self.second = kmeans(sample[:, self.cut :], words) if dim > self.cut else np.zeros((1, 0))
+        self.recall = recall
+        # A neighbour just at the threshold is displaced by this much along a given direction, by standard deviation.
+        self.spread = math.sqrt(max(1 - threshold**2, 1e-12) / max(1, dim - 1))
 
     def visits(self, vectors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Own cell and visited cells of each row, nearest first."""
-        own, cost = self.grid(vectors)
-        out = []
-        for row in cost:
-            cells = np.flatnonzero(row <= self.radius)
-            out.append(cells[np.argsort(row[cells], kind="stable")].astype(np.int32))
+        sides = [excess(vectors[:, : self.cut], self.first), excess(vectors[:, self.cut :], self.second)]
+        own = sides[0][0] * len(self.second) + sides[1][0]
+        order = [np.argsort(cost, axis=1, kind="stable") for _, cost in sides]
+        costs = [np.take_along_axis(cost, o, 1) for (_, cost), o in zip(sides, order, strict=True)]
+        chances = [(0.5 * _ERFC(np.sqrt(c) / (self.spread * math.sqrt(2)))).astype(float) for c in costs]
+        for c in chances:
+            c[:, 0] = 1.0  # its own
+        left = chances[0].sum(1) * chances[1].sum(1)
+        out: list[np.ndarray] = []
+        for row in range(len(vectors)):
+            if left[row] - 1 <= 1 - self.recall:
+                out.append(own[row : row + 1].astype(np.int32))
+                continue
+            walk = traverse(costs[0][row].tolist(), costs[1][row].tolist(), (chances[0][row].tolist(), chances[1][row].tolist()), left[row], self.recall)
+            at = np.array(list(walk))
+            out.append((order[0][row][at[:, 0]] * len(self.second) + order[1][row][at[:, 1]]).astype(np.int32))
         return own, out
 
 
@@ -176,12 +206,10 @@ def _forest(pid: np.ndarray, iid: np.ndarray, x: np.ndarray, y: np.ndarray) -> n
     return np.column_stack([nodes[moved], nodes[low[moved]]])
 
 
-def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.98, recall: float = 0.999, codewords: int = CODEWORDS
-) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.997, words: int | None = None) -> DataFrame:
     """Links of equal label and cosine of at least `threshold`.
 
-    vectors: vec_id, embedding, label. Returns vec_id, n_links, component_id, kept.
+    vectors: vec_id, embedding, label. words: codewords of each half, by the number of vectors if not given. Returns vec_id, n_links, component_id, kept.
     """
     scratch = Scratch(vectors.sparkSession, "multiindex")
     named = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.struct("label", "embedding").alias("s"))
@@ -192,11 +220,12 @@ def near_duplicates(
     groups = scratch.table(
         live.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "groups"
     )
+    words = words or codewords(groups.count())
     reps = groups.withColumn("dim", F.size("embedding"))
     sample = reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("dim", "embedding").toArrow()
     dims = sample.column("dim").to_numpy()
     books = {
-        int(d): Codebooks(unit(matrix(sample.column("embedding").take(pa.array(np.flatnonzero(dims == d))), int(d))), threshold, recall, codewords)
+        int(d): Codebooks(unit(matrix(sample.column("embedding").take(pa.array(np.flatnonzero(dims == d))), int(d))), threshold, recall, words)
         for d in np.unique(dims)
     }
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields)

@@ -1,4 +1,6 @@
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quillon.llm import multiindex
 from quillon.llm.components import components
@@ -70,3 +72,35 @@ def test_components_of_chains_stars_and_loops(spark):
         for u, v in pairs:
             low[u] = low[v] = min(low[u], low[v])
     assert got == {x: low[x] for u, v in pairs for x in (u, v) if low[x] != x}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(0, 5), min_size=1, max_size=6), st.lists(st.floats(0, 5), min_size=1, max_size=6), st.floats(0.5, 1))
+def test_traversal_visits_pairs_in_order_until_the_recall_is_met(first, second, recall):
+    first, second = [0.0, *sorted(first)], [0.0, *sorted(second)]
+    chance = [2.0**-x for x in first], [2.0**-x for x in second]
+    left = sum(chance[0]) * sum(chance[1])
+    got = list(multiindex.traverse(first, second, chance, left, recall))
+    assert len(set(got)) == len(got)
+    costs = [first[i] + second[j] for i, j in got]
+    assert costs == sorted(costs)
+    every = {(i, j) for i in range(len(first)) for j in range(len(second))}
+    assert all(first[i] + second[j] >= costs[-1] for i, j in every - set(got)), "the cheapest come first"
+    rest = sum(chance[0][i] * chance[1][j] for i, j in every - set(got))
+    assert rest <= 1 - recall + 1e-9
+    if len(got) > 1:
+        i, j = got[-1]
+        assert rest + chance[0][i] * chance[1][j] > 1 - recall - 1e-9, "and no cell is visited in vain"
+
+
+def test_the_share_of_vectors_met_falls_as_tables_grow():
+    rng = np.random.default_rng(3)
+    vectors = multiindex.unit(rng.normal(size=(4000, 64)))
+    share = []
+    for n in (50_000, 3_000_000):
+        books = multiindex.Codebooks(vectors, 0.98, 0.997, multiindex.codewords(n))
+        own, visits = books.visits(vectors)
+        held = np.bincount(own, minlength=len(books.first) * len(books.second))
+        share.append(np.mean([held[v].sum() for v in visits]) / len(vectors))
+    assert share[1] < 0.5 * share[0]
+    assert multiindex.codewords(10) == multiindex.CODEWORDS and multiindex.codewords(10**15) == multiindex.MOST_WORDS
