@@ -10,8 +10,10 @@ a whole block of half its length on its own document's grid, so:
 
 Both exchanges send sorted fingerprints of a chunk of documents as a few packed blobs per hash bucket, not rows. A chunk
 settles by itself what its own documents repeat, and sends one entry for each of its distinct windows, so a passage that a
-third of all documents hold costs an entry per chunk. Anchors may be false (24-bit fingerprints within a bucket); windows
-are compared by 64 bits. Only texts with anchors, and then with repeats, are shuffled, found by bounded bloom filters.
+third of all documents hold costs an entry per chunk. Buckets are as many as the texts' size asks for, so a task's share stays
+the same as the input grows. Anchors may be false (28-bit fingerprints within a bucket), which costs work, not words; windows
+are compared by two independent 64-bit hashes of their words, which for 10**13 windows are all right but with a chance below
+10**-12. Only texts with anchors, and then with repeats, are shuffled, found by bounded bloom filters.
 
 Defined results: a null text has no words; null doc_ids take no part and keep their text; rows that share a doc_id are
 separate texts, of which none is smaller than the other; an empty table gives an empty result; further columns are ignored.
@@ -31,7 +33,9 @@ from quillon.llm.jaccard import bloom, places
 from quillon.llm.words import U64, chunks, mix, split, windows
 from quillon.runtime import Scratch, small_batches
 
-_PRINT_BITS = 24
+_PRINT_BITS = 28
+#: Bytes of text for a bucket: some four million windows.
+BUCKET_BYTES = 24 << 20
 
 
 def _pack(sorted_prints: np.ndarray) -> bytes:
@@ -50,6 +54,14 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _first_of_equal(hashes: np.ndarray, checks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each place, the first value of its run of equal hashes and checks."""
+    if not len(hashes):
+        return values
+    heads = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])))
+    return np.repeat(values[heads], np.diff(np.append(heads, len(hashes))))
+
+
 _ANCHOR_ROW = "bucket int, probes binary, twice binary, prints binary, doc binary, text_hash binary, block binary, settled boolean"
 
 
@@ -125,7 +137,7 @@ def _anchors(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(out, ["doc_id", "text_hash", "block"])
 
 
-_WINDOW_ROW = "bucket int, hashes binary, doc binary, text_hash binary, first binary, settled boolean"
+_WINDOW_ROW = "bucket int, hashes binary, checks binary, doc binary, text_hash binary, first binary, settled boolean"
 
 
 def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -144,6 +156,7 @@ def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                 whole, at = windows(words, hashes, window)
                 if not len(at):
                     continue
+                check, _ = windows(words, words.hashes(second=True), window, second=True)
                 near = np.zeros(len(words.doc) + window + 1, dtype=np.int32)
                 marks = part.column("blocks")
                 row = np.repeat(np.arange(part.num_rows), np.diff(marks.offsets.to_numpy()))
@@ -154,7 +167,7 @@ def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                 half, half_at = windows(words, hashes, block)
                 least = np.full(len(words.doc) + 1, np.iinfo(np.uint64).max, dtype=U64)
                 least[half_at] = half
-                whole, at = whole[wanted], at[wanted]
+                whole, check, at = whole[wanted], check[wanted], at[wanted]
                 if not len(at):
                     continue
                 span, reach = window - block + 1, 1
@@ -165,10 +178,10 @@ def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                 ids = part.column("doc_id").to_numpy()
                 text_hash = part.column("text_hash").to_numpy()
                 doc = words.doc[at]
-                _, group = np.unique(whole, return_inverse=True)
-                low = np.full(group.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, group, ids[doc])
-                sure = low[group] < ids[doc]
+                order = np.lexsort((ids[doc], check, whole))
+                least_id = _first_of_equal(whole[order], check[order], ids[doc][order])
+                sure = np.empty(len(order), dtype=bool)
+                sure[order] = least_id < ids[doc][order]
                 rows = []
                 first = (at - words.first[doc]).astype("<i4")
                 open_ = np.flatnonzero(~sure)
@@ -176,13 +189,13 @@ def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
                 cuts = np.append(_runs(bucket[open_]), len(open_))
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     mine = open_[a:b]
-                    rows.append((int(bucket[mine[0]]), whole[mine].tobytes(), ids[doc[mine]].tobytes(), text_hash[doc[mine]].tobytes(), first[mine].tobytes(), False))
+                    rows.append((int(bucket[mine[0]]), whole[mine].tobytes(), check[mine].tobytes(), ids[doc[mine]].tobytes(), text_hash[doc[mine]].tobytes(), first[mine].tobytes(), False))
                 done = np.flatnonzero(sure)
                 if len(done):
-                    name = int(bucket[done[0]])
-                    rows.append((name, b"", ids[doc[done]].tobytes(), text_hash[doc[done]].tobytes(), first[done].tobytes(), True))
+                    name = int(mix(ids[:1].astype(np.int64).view(U64))[0] % U64(buckets))
+                    rows.append((name, b"", b"", ids[doc[done]].tobytes(), text_hash[doc[done]].tobytes(), first[done].tobytes(), True))
                 if rows:
-                    kinds = [pa.int32()] + [pa.binary()] * 4 + [pa.bool_()]
+                    kinds = [pa.int32()] + [pa.binary()] * 5 + [pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _WINDOW_ROW.split(", ")])
 
     return run
@@ -192,11 +205,9 @@ def _repeats(table: pa.Table) -> pa.Table:
     """Runs of window starts of one bucket that have a smaller holder: doc_id, text_hash, low, high."""
     open_ = table.filter(pa.compute.invert(table.column("settled")))
     sure = table.filter(table.column("settled"))
-    hashes, doc = _joined(open_, "hashes", "<u8"), _joined(open_, "doc", "<i8")
-    order = np.lexsort((doc, hashes))
-    heads = _runs(hashes[order])
-    least = np.repeat(doc[order][heads], np.diff(np.append(heads, len(order))))
-    hit = order[doc[order] > least]
+    hashes, checks, doc = _joined(open_, "hashes", "<u8"), _joined(open_, "checks", "<u8"), _joined(open_, "doc", "<i8")
+    order = np.lexsort((doc, checks, hashes))
+    hit = order[doc[order] > _first_of_equal(hashes[order], checks[order], doc[order])]
     cols = [np.concatenate([_joined(open_, c, t)[hit], _joined(sure, c, t)]) for c, t in (("doc", "<i8"), ("text_hash", "<i8"), ("first", "<i4"))]
     doc, text_hash, first = (c[o] for o in [np.lexsort((cols[2], cols[1], cols[0]))] for c in cols)
     heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1]) | (first[1:] > first[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
@@ -260,7 +271,9 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True, keep: tuple[str
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "substring")
-    block, buckets = window // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    block = window // 2
+    held = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
     more = [c for c in keep if c not in ("doc_id", "text")]
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.struct(F.lit(0).alias("_"), *more).alias("more"))
     live = source.select("doc_id", "text", "text_hash").filter("doc_id is not null and text is not null")

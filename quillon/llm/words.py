@@ -33,8 +33,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_WORD_BASE = 0xD6E8FEB86659FD93
-_ROLL_BASE = 0xA24BAED4963EE407
+# The second of each gives hashes that are independent of the first's.
+_BYTE_CODES = (_BYTE_CODE, mix(_BYTE_CODE ^ U64(0x3C79AC492BA7B653)))
+_WORD_BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
+_ROLL_BASES = (0xA24BAED4963EE407, 0xE7037ED1A0B428DB)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -75,18 +77,18 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; with `second`, another one."""
         out = np.empty(len(self.start), dtype=U64)
         longest = int((self.end - self.start).max(initial=0))
-        power = _powers(_WORD_BASE, longest)
+        power = _powers(_WORD_BASES[second], longest)
         for a in range(0, len(out), _SLICE_WORDS):
             start, end = self.start[a : a + _SLICE_WORDS], self.end[a : a + _SLICE_WORDS]
             low, sizes = int(start[0]), end - start
             data = self.data[low : int(end[-1])]
             inside = np.arange(len(data), dtype=np.int64) - np.repeat(start - low, np.diff(np.append(start, end[-1])))
             inside[_SPACE[data]] = 0
-            value = _BYTE_CODE[data] * power[inside]
+            value = _BYTE_CODES[second][data] * power[inside]
             value[_SPACE[data]] = 0
             out[a : a + _SLICE_WORDS] = mix(np.add.reduceat(value, start - low) + sizes.astype(U64))
         return out
@@ -115,10 +117,10 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, doc, start, end, first)
 
 
-def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words, hashes: np.ndarray, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each k-word shingle; a row of 1 to k-1 words gives its whole sequence as one."""
     n = len(hashes)
-    power = _powers(_ROLL_BASE, k + 1)
+    power = _powers(_ROLL_BASES[second], k + 1)
     out, row = np.zeros(0, U64), np.zeros(0, np.int64)
     if n >= k:
         total = np.zeros(n - k + 1, dtype=U64)
@@ -140,15 +142,15 @@ def shingles(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return out, row
 
 
-def windows(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: Words, hashes: np.ndarray, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of k consecutive words of one row, and the index of its first word."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    power = _powers(_ROLL_BASE, n)
+    power = _powers(_ROLL_BASES[second], n)
     total = np.zeros(n + 1, dtype=U64)
     np.cumsum(hashes * power, out=total[1:])
-    inverse = _powers(pow(_ROLL_BASE, -1, 1 << 64), n - k + 1)
+    inverse = _powers(pow(_ROLL_BASES[second], -1, 1 << 64), n - k + 1)
     at = np.flatnonzero(words.doc[: n - k + 1] == words.doc[k - 1 :])
     return mix((total[at + k] - total[at]) * inverse[at]), at
 
