@@ -10,8 +10,9 @@ all others go by hash. Two sets that reach the threshold share a shingle of thei
    like size, first the group with the fewest rarer shingles, then two drawn by hash. A further member meets its leader. What
    is verified is linked, and components are formed.
 4. Last round: only pairs of long lists' entries that are still in different components are left.
-Size and positional filters apply to pairs of groups; then groups expand to their members, and the whole texts decide.
-Before texts are compared, parities of the sets over hash classes rule out pairs that differ too much for certain.
+   Members of one group that are still apart meet where the shingles after their prefix, again as many as must be, agree.
+Size and positional filters apply to pairs of groups; then groups expand to their members, and the whole texts decide, by
+hashes that are independent of those that found the pair. Before texts are compared, parities of the sets over hash classes rule out pairs that differ too much for certain.
 
 So a pair at the threshold is linked, or both ends were already connected; a crowd of near copies costs one check each.
 Texts are sent only for documents in some pair (a bounded bloom filter drops most others at the scan).
@@ -59,13 +60,17 @@ class Rule:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-self.num * n // self.den) + 1
 
+    def need(self, n: np.ndarray) -> np.ndarray:
+        """What two sets of n share at least when they link."""
+        return -(-2 * self.num * n // (self.num + self.den))
+
     def links(self, shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return self.den * shared >= self.num * (n + m - shared)
 
 
-def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _sets(texts: pa.Array, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     words = split(texts, lower=True)
-    return row_sets(*shingles(words, words.hashes(), k), len(texts))
+    return row_sets(*shingles(words, words.hashes(second), k, second), len(texts))
 
 
 def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,6 +164,45 @@ def screened(pairs: DataFrame, signs: DataFrame, rule: Rule) -> DataFrame:
     return joined.select("u", "v", "n1", "n2", "sign_u", "sign_v").mapInArrow(_screen(rule), "u long, v long")
 
 
+def _order(sets: np.ndarray, bounds: np.ndarray, row: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Put the shingles of each row in the common order, in place; returns their counts, 0 for those that are not frequent."""
+    rank = np.zeros(len(sets), dtype=np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, sets), len(tokens) - 1)
+        rank = np.where(tokens[at] == sets, counts[at], 0)
+    # Sets are sorted by hash already; only rows with a frequent shingle need another order.
+    for i in np.unique(row[rank > 0]):
+        a, b = bounds[i], bounds[i + 1]
+        order = np.argsort(rank[a:b], kind="stable")
+        sets[a:b], rank[a:b] = sets[a:b][order], rank[a:b][order]
+    return rank
+
+
+def _tails(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (doc_id, tokens): the shingles after the prefix of which two linked members of one group share one.
+
+    Such members share their prefix, so they share need - prefix of the rest; where that is nothing, one token stands for all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = heavy.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets, bounds = _sets(part.column("text"), rule.k)
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                _order(sets, bounds, row, tokens, counts)
+                place, first, need = np.arange(len(sets)) - bounds[row], rule.prefix(n), rule.need(n)
+                inside = (place >= first[row]) & (place <= (first + n - need)[row])
+                free = need <= first
+                sets[inside & free[row]] = 0
+                lists = [np.unique(x) for x in np.split(sets[inside], np.cumsum(np.bincount(row[inside], minlength=len(n)))[:-1])]
+                lists = [np.zeros(1, U64) if f else x for f, x in zip(free, lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))], ["doc_id", "tokens"])
+
+    return run
+
+
 def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (doc_id, n, light, dense, s0..s3, sign): the prefix in order, its frequent shingles, if any, come last.
 
@@ -176,15 +220,7 @@ def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 classes = (mix(sets) >> U64(56)).astype(np.int64)
                 odd = np.bincount(row * 256 + classes, minlength=256 * len(n)).astype(np.uint8) & 1
                 signs = np.packbits(odd.reshape(-1, 256), axis=1).view(np.int64)
-                rank = np.zeros(len(sets), dtype=np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, sets), len(tokens) - 1)
-                    rank = np.where(tokens[at] == sets, counts[at], 0)
-                # Sets are sorted by hash already; only rows with a frequent shingle need another order.
-                for i in np.unique(row[rank > 0]):
-                    a, b = bounds[i], bounds[i + 1]
-                    order = np.argsort(rank[a:b], kind="stable")
-                    sets[a:b], rank[a:b] = sets[a:b][order], rank[a:b][order]
+                rank = _order(sets, bounds, row, tokens, counts)
                 inside = np.arange(len(sets)) - bounds[row] < rule.prefix(n)[row]
                 light, dense = inside & (rank == 0), inside & (rank > 0)
                 out = [part.column("doc_id").cast(pa.int64()), pa.array(n)]
@@ -199,20 +235,24 @@ def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def bloom(ids: DataFrame, count: int) -> np.ndarray:
-    """A bloom filter of the ids: two bits each, at most BLOOM_BITS; a fuller one only lets more rows pass."""
+    """A bloom filter of the ids: two bits each, at most BLOOM_BITS; a fuller one only lets more rows pass.
+
+    Partitions fill filters of their own, which are combined word by word before and after a shuffle.
+    """
     bits = min(BLOOM_BITS, 1 << max(10, (16 * count).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, dtype=bool)
+        seen = np.zeros(bits // 64, dtype=U64)
         for batch in batches:
             for at in places(batch.column("id").to_numpy(), bits):
-                seen[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
+                np.bitwise_or.at(seen, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at].view(np.int64))], ["word", "bits"])
 
-    whole = np.zeros(bits // 8, dtype=np.uint8)
-    for row in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        whole |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return np.unpackbits(whole).astype(bool)
+    parts = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    whole = np.zeros(bits // 64, dtype="<u8")
+    whole[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(U64)
+    return np.unpackbits(whole.view(np.uint8), bitorder="little").astype(bool)
 
 
 def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,8 +280,8 @@ def _verify(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             for part in chunks(batch, "text_u"):
                 for piece in chunks(part, "text_v"):
-                    one, first = _sets(piece.column("text_u"), rule.k)
-                    two, second = _sets(piece.column("text_v"), rule.k)
+                    one, first = _sets(piece.column("text_u"), rule.k, second=True)
+                    two, second = _sets(piece.column("text_v"), rule.k, second=True)
                     row = np.concatenate([np.repeat(np.arange(piece.num_rows), np.diff(b)) for b in (first, second)])
                     both = np.concatenate([one, two])
                     order = np.lexsort((both, row))
@@ -316,7 +356,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             break
         stars = near.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
         near = scratch.table(components(stars.unionByName(more), scratch), "components")
-    pairs = _apart(long, members, near, rule, scratch)
+    pairs = _apart(long, members, near, rule, scratch).unionByName(_within(docs, members, near, rule, heavy, scratch)).distinct()
+    pairs = scratch.table(pairs, "pairs")
     scratch.drop(lists)
     last = verified(docs, scratch.table(screened(pairs, signs, rule), "screened"), rule, scratch)
     stars = near.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
@@ -432,9 +473,20 @@ def _apart(long: DataFrame, members: DataFrame, near: DataFrame, rule: Rule, scr
     half = classes.join(one, ["token", "c"]).filter(f"p1 <= {most('n1', 'olow')}").drop("olow", "c")
     through = half.join(two, ["token", "oc"]).filter(sizes).filter(places_)
     pairs = direct.select("u", "v").unionByName(through.select("u", "v"))
-    mine = _groups(members, near)
-    other = mine.select("g", F.col("doc_id").alias("v"), F.col("c").alias("oc"))
-    within = mine.withColumnRenamed("doc_id", "u").join(other, "g").filter("u < v and c <> oc").select("u", "v")
-    out = scratch.table(_expanded(pairs.distinct(), members).unionByName(within).distinct(), "pairs")
+    out = scratch.table(_expanded(pairs.distinct(), members), "pairs")
     scratch.drop(entries, span, mixed, live)
     return out
+
+
+def _within(docs: DataFrame, members: DataFrame, near: DataFrame, rule: Rule, heavy, scratch: Scratch) -> DataFrame:
+    """Pairs of one group's members in different components that share a shingle which they must share beyond the prefix."""
+    every = scratch.table(_groups(members, near), "grouped")
+    mixed = every.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("g")
+    apart = scratch.table(every.join(mixed, "g"), "apart")
+    if apart.isEmpty():
+        return apart.select(F.col("doc_id").alias("u"), F.col("g").alias("v"))
+    texts = texts_of(docs, apart.select(F.col("doc_id").alias("id")).distinct(), scratch)
+    tails = texts.mapInArrow(_tails(rule, heavy), "doc_id long, tokens array<bigint>")
+    one = scratch.table(apart.join(tails, "doc_id").select("g", F.col("doc_id").alias("u"), "c", F.explode("tokens").alias("token")), "tails")
+    two = one.select("g", "token", F.col("u").alias("v"), F.col("c").alias("oc"))
+    return one.join(two, ["g", "token"]).filter("u < v and c <> oc").select("u", "v")

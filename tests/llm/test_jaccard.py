@@ -72,3 +72,20 @@ def test_edge_rows(spark):
     rows = [(None, "a b c d e", 1, "x"), (4, "a b c d e", 1, "x"), (4, "a b c d e", 1, "x"), (2, "A b C d\n e", 1, "x"), (9, None, 1, "x")]
     got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(None, 1, None), (4, 1, 2), (4, 1, 2), (2, 1, 2), (9, 0, 9)], key=str)
+
+
+def test_members_of_one_group_that_are_apart_meet_only_where_they_may_link(spark):
+    """Texts of one size with one prefix, by hand: the order of shingles is by hash, so texts are drawn until prefixes agree."""
+    rng = random.Random(6)
+    rule = jaccard.Rule(1, 80, 100)
+    words = [f"w{i}" for i in range(400)]
+    sets, _ = jaccard._sets(jaccard.pa.array([" ".join(words)]), 1)
+    by_hash = {int(jaccard._sets(jaccard.pa.array([w]), 1)[0][0]): w for w in words}
+    order = [by_hash[int(h)] for h in sets]
+    n = 20
+    head, rest = order[: int(rule.prefix(n))], order[int(rule.prefix(n)) :]
+    rows = [(i, " ".join(head + rng.sample(rest[:40] if i % 2 else rest, n - len(head))), 1, "x") for i in range(60)]
+    rows += [(100 + i, " ".join(head + rest[i : i + n - len(head)]), 1, "x") for i in range(12)]
+    got = {tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), rule).collect()}
+    assert got == brute(rows, rule)
+    assert len({c for *_, c in got}) > 10
