@@ -9,8 +9,9 @@ most letters is the prediction, its share of all letters the score.
 Viterbi runs over all texts of a chunk in step: words are cut into short segments, each segment gives a small matrix of
 best scores between states, the matrices chain per text, and the segments are then traced back together.
 
-Defined results: a null text or one without a letter is `und` with score 0; without training rows all are `und`; ties go to
-the language that sorts first; rows repeat freely; an empty table gives an empty result; further columns are ignored.
+Defined results: a null text or one without a letter is `und` with score 0; without training rows all are `und`; training rows
+of more than MOST_LANGUAGES languages are an error; ties go to the language that sorts first; rows repeat freely; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from quillon.runtime import small_batches
 
 UND = "und"
 BUCKETS = 1 << 16
+#: A model, which is sent to all tasks, holds BUCKETS numbers a language; segments hold the square of the languages.
+MOST_LANGUAGES = 256
 SEGMENT = 64
 #: Bytes of text that are worked on at a time; arrays hold about forty times as much.
 CHUNK = 500_000
@@ -146,6 +149,8 @@ def fit(train: DataFrame, smooth: float = 0.5, least_share: float = 0.01) -> Mod
     counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counts.column("lang").to_pylist(), dtype=object)
     languages = sorted(set(names))
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages in the training rows; a model holds {MOST_LANGUAGES} at most")
     sums = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
     sums[counts.column("bucket").to_numpy(), np.searchsorted(np.array(languages, dtype=object), names)] = counts.column("n").to_numpy()
     grams, by_script = sums[:BUCKETS], sums[BUCKETS:]
