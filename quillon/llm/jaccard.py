@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.words import U64, chunks, mix, row_sets, shingles, split
+from quillon.llm.words import U64, chunks, lean, mix, row_sets, shingles, split
 from quillon.runtime import Scratch, small_batches
 
 #: A shingle counts as frequent if parts of the input that hold it PART_COUNT times or more add up to LEAST_COUNT; at most
@@ -76,6 +76,7 @@ def _sets(texts: pa.Array, k: int, second: bool = False) -> tuple[np.ndarray, np
 def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (doc_id, n, a, b) of the documents, and rows (token, count) of what is frequent in a part."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "a", "b", "token", "count"]
         held = np.empty(_PART, dtype=U64)
@@ -140,6 +141,7 @@ def _folded(signs: pa.Array, width: int) -> np.ndarray:
 def _screen(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Drop the pairs whose signatures differ in more bits than sets at the threshold differ in shingles."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n1").to_numpy(), batch.column("n2").to_numpy()
@@ -184,6 +186,7 @@ def _tails(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     Such members share their prefix, so they share need - prefix of the rest; where that is nothing, one token stands for all.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = heavy.value
         for batch in batches:
@@ -210,6 +213,7 @@ def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     least as many shingles as bits.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = heavy.value
         for batch in batches:
@@ -235,47 +239,55 @@ def _prefixes(rule: Rule, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def bloom(ids: DataFrame, count: int) -> np.ndarray:
-    """A bloom filter of the ids: two bits each, at most BLOOM_BITS; a fuller one only lets more rows pass.
+    """A bloom filter of the ids, as 64-bit words: two bits each, at most BLOOM_BITS; a fuller one only lets more rows pass.
 
     Partitions fill filters of their own, which are combined word by word before and after a shuffle.
     """
     bits = min(BLOOM_BITS, 1 << max(10, (16 * count).bit_length()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits // 64, dtype=U64)
         for batch in batches:
-            for at in places(batch.column("id").to_numpy(), bits):
-                np.bitwise_or.at(seen, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+            for word, bit in _bits(batch.column("id").to_numpy(), bits):
+                np.bitwise_or.at(seen, word, bit)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at].view(np.int64))], ["word", "bits"])
 
     parts = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    whole = np.zeros(bits // 64, dtype="<u8")
+    whole = np.zeros(bits // 64, dtype=U64)
     whole[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(U64)
-    return np.unpackbits(whole.view(np.uint8), bitorder="little").astype(bool)
+    return whole
 
 
-def places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _bits(ids: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Word and bit of both places of each id."""
     h = mix(ids.astype(np.int64).view(U64))
-    return h & U64(bits - 1), (h >> U64(32)) & U64(bits - 1)
+    both = h & U64(bits - 1), (h >> U64(32)) & U64(bits - 1)
+    return [((at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63))) for at in both]
+
+
+def may_hold(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id may be one of those a filter was made of."""
+    one, two = ((filter_[word] & bit) != 0 for word, bit in _bits(ids, 64 * len(filter_)))
+    return one & two
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, text) of the documents in ids (distinct, written)."""
-    count = ids.count()
-    filter_ = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom(ids, count)))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(filter_.value).astype(bool)
         for batch in batches:
-            one, two = places(batch.column("id").to_numpy(), len(seen))
-            yield batch.filter(pa.array(seen[one] & seen[two]))
+            yield batch.filter(pa.array(may_hold(filter_.value, batch.column("id").to_numpy())))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
     return scratch.table(rows.mapInArrow(run, "id long, text string").join(ids, "id", "left_semi"), "texts")
 
 
 def _verify(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text_u"):

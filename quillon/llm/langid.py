@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.words import chunks
+from quillon.llm.words import chunks, lean
 from quillon.runtime import small_batches
 
 UND = "und"
@@ -129,6 +129,7 @@ class Model:
 def fit(train: DataFrame, smooth: float = 0.5, least_share: float = 0.01) -> Model:
     """Learn from the rows of train (text, lang) with a text and a lang."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -223,6 +224,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         names = np.array([*m.languages, UND], dtype=object)

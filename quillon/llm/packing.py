@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.words import lean
 from quillon.runtime import Scratch, small_batches
 
 #: Texts of these characters alone are split alike by both tokenizer libraries whatever their Unicode version.
@@ -98,6 +99,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_tokenizer(tokenizer)
         for batch in batches:
@@ -198,6 +200,7 @@ def assign(pieces: DataFrame, slots: list[Slots]) -> DataFrame:
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
     shared = pieces.sparkSession.sparkContext.broadcast(table)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
         lengths, begins = np.unique(rows[:, 0], return_index=True)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.words import chunks
+from quillon.llm.words import chunks, lean
 
 SPACE = "▁"
 _UNIT = re.compile(" +[^ ]*")
@@ -326,6 +326,7 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
 def encode_decode(docs: DataFrame, model: str = "piece_bpe_32k.model", keep: bool = False) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids), decoded_sha256, and with `keep` also ids and decoded."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(model)
         encoder = Encoder(vocabulary)

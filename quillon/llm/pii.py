@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.words import lean
 from quillon.runtime import Scratch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -208,6 +209,7 @@ def of_text(text: str) -> list[tuple[int, int, int, int, int]]:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and, per text, its candidates: kind, start, end, votes, features."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("kind", "start", "end", "votes", "features")
         kind = pa.list_(pa.struct([(n, pa.int32()) for n in names]))
@@ -326,6 +328,7 @@ def mask(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             at = max(at, e)
         return "".join([*parts, text[at:]])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.jaccard import bloom, places
-from quillon.llm.words import U64, chunks, mix, split, windows
+from quillon.llm.jaccard import bloom, may_hold
+from quillon.llm.words import U64, chunks, lean, mix, split, windows
 from quillon.runtime import Scratch, small_batches
 
 _PRINT_BITS = 28
@@ -68,6 +68,7 @@ _ANCHOR_ROW = "bucket int, probes binary, twice binary, prints binary, doc binar
 def _probes(block: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per chunk and bucket: the distinct probes, which of them two documents hold, and the blocks they do not settle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -148,6 +149,7 @@ def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     """
     block = window // 2
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -217,14 +219,13 @@ def _repeats(table: pa.Table) -> pa.Table:
 
 def _known(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
     """Rows whose doc_id may be in ids, or those whose doc_id is not; both together are all rows."""
-    filter_ = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom(ids, ids.count())))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(filter_.value).astype(bool)
         for batch in batches:
             known = batch.column("doc_id")
-            one, two = places(pa.compute.fill_null(known, 0).to_numpy(zero_copy_only=False), len(seen))
-            may = seen[one] & seen[two] & np.asarray(known.is_valid())
+            may = may_hold(filter_.value, pa.compute.fill_null(known, 0).to_numpy(zero_copy_only=False)) & np.asarray(known.is_valid())
             yield batch.filter(pa.array(may if inside else ~may))
 
     return docs.mapInArrow(run, docs.schema)
@@ -242,6 +243,7 @@ def cut_words(words: list[bytes], ranges: list[dict] | None, window: int) -> lis
 
 
 def _texts(window: int, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, kept = [], []
