@@ -116,11 +116,6 @@ def merge_sorted(*runs: DataFrame, by: list[str | Column], limit: int | None = N
     return merged if limit is None else merged.limit(limit)
 
 
-def merge_values(runs: DataFrame) -> DataFrame:
-    """Merge posting runs (key, doc_id): the union of each key's ids."""
-    return runs.select("key", "doc_id").distinct()
-
-
 @dataclass(frozen=True)
 class Levels:
     """Sizes that shape compaction."""
@@ -187,6 +182,19 @@ def compact(log: DataFrame, path: str, policy: str = "leveled", partitions: int
     return log.sparkSession.read.schema(log.schema).parquet(path)
 
 
+def squashed(log: DataFrame, snapshots: tuple[int, ...] = ()) -> DataFrame:
+    """The versions that the latest state and the given snapshots can see; all others are shadowed and dropped.
+
+    A delete with nothing older left goes, too. One aggregation by key with map-side combine, whatever a key's versions.
+    """
+    row = F.struct("seq", "op", "value")
+    seen = [F.max_by(row, F.when(F.col("seq") <= s, F.col("seq"))) for s in snapshots] + [F.max_by(row, "seq")]
+    kept = F.array_sort(F.array_distinct(F.array_compact(F.array(*seen))))
+    rows = log.groupBy("key").agg(kept.alias("kept"))
+    first = F.when(F.col("kept")[0]["op"] == DELETE, 2).otherwise(1)
+    return rows.select("key", F.explode(F.slice("kept", first, F.size("kept"))).alias("v")).select("key", "v.seq", "v.op", "v.value")
+
+
 def manifest(log_path: DataFrame) -> DataFrame:
     """Per file of a compacted log: path, min_key, max_key, versions."""
     return log_path.withColumn("path", F.input_file_name()).groupBy("path").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("versions"))

@@ -69,20 +69,36 @@ def mark(token: Column) -> Column:
     return F.concat(F.lit("^"), token, F.lit("$"))
 
 
+def _ids_repeat(docs: DataFrame) -> bool:
+    """Whether some doc_id has several rows; reads the ids alone."""
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
 def postings(docs: DataFrame, profile: Profile = Profile(), config: IndexConfig = IndexConfig()) -> DataFrame:
-    """Distinct (token, doc_id): marked main forms, or k-grams of the words as they stand."""
+    """Distinct (token, doc_id): marked main forms, or k-grams of the words as they stand.
+
+    Tokens are made distinct within each row; a distinct over all rows follows only where several rows share a doc_id.
+    """
     found = F.array_distinct(T.words(T.lower(body(F.col("text"))), profile.letters))
+    kept = F.filter(found, lambda w: ~w.isin(*profile.stop_words)) if profile.stop_words else found
+    if profile.morph is None:
+        grams = lambda w: T.kgrams(w, config.kgram)
+        each = F.array_distinct(F.flatten(F.transform(kept, grams))) if config.kgram else F.transform(kept, mark)
+        tokens = docs.select(F.explode(each).alias("token"), "doc_id")
+        return tokens.distinct() if _ids_repeat(docs) else tokens
     words = docs.select("doc_id", F.explode(found).alias("word"))
-    if profile.morph is not None:
-        words = words.join(forms_of(words, profile), "word").filter("not stop")
-        forms = F.col("forms")
-    else:
-        words = words.filter(~F.col("word").isin(*profile.stop_words)) if profile.stop_words else words
-        forms = F.array("word")
+    words = words.join(forms_of(words, profile), "word").filter("not stop")
     if config.kgram:
         return words.select(F.explode(T.kgrams(F.col("word"), config.kgram)).alias("token"), "doc_id").distinct()
-    tokens = words.select(F.explode(forms).alias("form"), "doc_id").select(mark(F.col("form")).alias("token"), "doc_id")
-    return tokens.distinct() if profile.morph is not None else tokens
+    return words.select(F.explode("forms").alias("form"), "doc_id").select(mark(F.col("form")).alias("token"), "doc_id").distinct()
+
+
+def merged(*runs: DataFrame) -> DataFrame:
+    """Written runs of postings as one: the ids of a token are the union of its ids in all runs."""
+    whole = runs[0]
+    for run in runs[1:]:
+        whole = whole.unionByName(run)
+    return whole.select("token", "doc_id").distinct()
 
 
 def dictionary(tokens: DataFrame) -> DataFrame:
@@ -113,10 +129,11 @@ def docs_between(rows: DataFrame, start: str | None, end: str | None) -> DataFra
 def date_bits(dates: DataFrame) -> DataFrame:
     """(doc_id, token): a date as bit tokens name00 to name63 of its nanoseconds, and name64 for having one.
 
-    Days before 1970 would wrap; comparisons use the date column, this is for exchange only.
+    Days before 1970 would wrap, and days after 2262 do not fit: those have no bits but name64. Comparisons use the date
+    column, this is for exchange only.
     """
-    nanos = F.unix_date("date").cast("long") * F.lit(86_400_000_000_000)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(nanos, i) == 1)
+    nanos = F.try_multiply(F.unix_date("date").cast("long"), F.lit(86_400_000_000_000))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.getbit(nanos, i), F.lit(0)) == 1)
     tokens = F.concat(F.transform(bits, lambda i: F.concat(F.col("name"), F.lpad(i.cast("string"), 2, "0"))), F.array(F.concat("name", F.lit("64"))))
     return dates.select("doc_id", F.explode(tokens).alias("token")).distinct()
 

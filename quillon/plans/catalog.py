@@ -188,6 +188,15 @@ for _name in kv.POLICIES:
     _query(_newest() + "SELECT key, value FROM newest WHERE op = 0", f"kv_compact_{_name}")(_compacted(_name))
 
 
+@_query(
+    f"WITH {_LOG}, kept AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(seq) AS seq FROM log WHERE seq <= 4000 GROUP BY key "
+    "UNION SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(seq) AS seq FROM log GROUP BY key) "
+    "SELECT key, seq, op, value FROM kept QUALIFY NOT (op = 1 AND seq = min(seq) OVER (PARTITION BY key))"
+)
+def kv_compact_shadowed(spark, sf_dir):
+    return kv.compact(kv.squashed(_log(spark, sf_dir), (4000,)), Scratch(spark, "kv").path("squashed"), partitions=6)
+
+
 # --- words, dictionary, postings -----------------------------------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all(lower(text), '(\p{L}+)', 1)"
@@ -250,6 +259,14 @@ def index_scan(spark, sf_dir):
     return P.docs_between(P.postings(_docs(spark, sf_dir)), "^er", "^es")
 
 
+@_query(f"WITH {_POST} SELECT token, count(*) AS docs FROM post GROUP BY token")
+def index_compact(spark, sf_dir):
+    """Two overlapping runs of postings, each written, merged and written as one."""
+    docs, scratch = _docs(spark, sf_dir), Scratch(spark, "index")
+    runs = [P.write(P.postings(docs.filter(half)), scratch.path("run")) for half in ("doc_id % 3 < 2", "doc_id % 3 > 0")]
+    return P.write(P.merged(*runs), scratch.path("merged")).groupBy("token").agg(F.count("*").alias("docs"))
+
+
 # --- search --------------------------------------------------------------------------------------------------------------
 
 
@@ -289,6 +306,14 @@ def search_wildcard(spark, sf_dir):
     return _index(spark, sf_dir, config=P.IndexConfig(kgram=4)).search("the*ion")
 
 
+@_query(f"WITH {_POST} SELECT doc_id FROM (({_has('le')} UNION {_has('der')}) EXCEPT {_has('the')})")
+def search_written(spark, sf_dir):
+    """A search over postings that were written first: the tokens reach the scan as pushed filters."""
+    docs = _docs(spark, sf_dir)
+    written = P.write(P.postings(docs), Scratch(spark, "index").path("postings"))
+    return search.Index(written, docs.select("doc_id")).search("( ( le | der ) & ( ! the ) )")
+
+
 # --- dates: orders are documents, created when ordered, deleted when the last line of a finished order ships ---------------
 
 

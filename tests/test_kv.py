@@ -94,3 +94,16 @@ def test_merge_layout_and_facade(spark):
     assert store.sequence() == 4
     assert [tuple(r) for r in store.scan().collect()] == [(2, "b"), (3, "c")]
     assert [tuple(r) for r in store.scan(snapshot=2).collect()] == [(1, "a"), (2, "b")]
+
+
+def test_squashed_keeps_what_snapshots_see(spark):
+    rng = random.Random(3)
+    rows = [(bytes([rng.randrange(20)]), s, int(rng.random() < 0.4), None) for s in range(1, 301)]
+    rows = [(k, s, o, None if o else str(s)) for k, s, o, _ in rows]
+    df = log(spark, rows)
+    small = kv.squashed(df, (50, 200))
+    for snapshot in (50, 200, None):
+        assert pairs(kv.scan(small, snapshot=snapshot)) == pairs(kv.scan(df, snapshot=snapshot))
+    assert small.count() <= 60
+    last = {k: o for k, _, o, _ in rows}
+    assert kv.squashed(df).count() == sum(o == kv.PUT for o in last.values()), "without snapshots no delete stays"

@@ -111,3 +111,23 @@ def test_files_and_streams(spark, tmp_path):
     ops = spark.readStream.schema("key int, seq long, op int, value string").parquet(f"{tmp_path}/ops")
     ingest.append_log(ops, f"{tmp_path}/log", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_rows_that_share_a_doc_id_give_distinct_postings(spark):
+    from quillon.operators import postings as P
+
+    docs = spark.createDataFrame([(4, "the cat"), (4, "the dog"), (5, "the")], "doc_id long, text string")
+    for config in (P.IndexConfig(), P.IndexConfig(kgram=3)):
+        rows = [tuple(r) for r in P.postings(docs, config=config).collect()]
+        assert len(rows) == len(set(rows)) and ("^the$" if not config.kgram else "^th", 4) in rows
+    runs = P.postings(docs.limit(2)), P.postings(docs)
+    assert sorted(map(tuple, P.merged(*runs).collect())) == sorted(map(tuple, P.postings(docs).collect()))
+
+
+def test_dates_beyond_nanoseconds_have_no_bits(spark):
+    import datetime as dt
+
+    from quillon.operators import postings as P
+
+    dates = spark.createDataFrame([(1, "d", dt.date(2300, 1, 1))], "doc_id long, name string, date date")
+    assert [r["token"] for r in P.date_bits(dates).collect()] == ["d64"]
