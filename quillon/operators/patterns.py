@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+
 #: An automaton is sent to executors only for pattern tables up to this many symbols; larger ones are joined.
 MOST_SYMBOLS = 4_000_000
 
@@ -229,7 +231,7 @@ class Dfa:
 
     def minimal(self) -> Dfa:
         """Merge states that no text tells apart."""
-        group = [hash(frozenset(a)) for a in self.accepts]
+        group: list = [tuple(sorted(a)) for a in self.accepts]
         while True:
             sign = [(group[s], tuple(sorted((c, group[t]) for c, t in row.items()))) for s, row in enumerate(self.table)]
             names = {x: i for i, x in enumerate(dict.fromkeys(sign))}
@@ -246,3 +248,22 @@ class Dfa:
     def transitions(self, spark) -> DataFrame:
         """The move table as rows state, symbol, next_state."""
         return spark.createDataFrame([(s, c, t) for s, row in enumerate(self.table) for c, t in sorted(row.items())], "state int, symbol string, next_state int")
+
+
+def accepted(text: Column, machine: Dfa) -> Column:
+    """The ids, ascending, of the languages a text is in; no id gives an empty array, a null text null.
+
+    The automaton is part of the plan, as one alphabet and one list of next states a state, so texts stay in the JVM.
+    """
+    none = F.array().cast("array<int>")
+    rows = [sorted(row.items()) for row in machine.table]
+    alphabets = F.array(*[F.lit("".join(c for c, _ in row)) for row in rows])
+    moves = F.array(*[F.array(*[F.lit(to) for _, to in row]).cast("array<int>") if row else none for row in rows])
+    ids = F.array(*[F.array(*[F.lit(i) for i in sorted(a)]).cast("array<int>") if a else none for a in machine.accepts])
+
+    def step(state: Column, symbol: Column) -> Column:
+        at = F.position(symbol, F.get(alphabets, state)) - 1
+        return F.coalesce(F.get(F.get(moves, state), at), F.lit(-1))
+
+    last = F.aggregate(T.symbols(text), F.lit(0), step)
+    return F.when(text.isNotNull(), F.coalesce(F.get(ids, last), none))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,35 @@ def positions(rows: DataFrame, key: str) -> DataFrame:
     return sized.select(key, "position", "symbol", until.alias("byte_position"), "size", F.ascii("symbol").alias("code"))
 
 
+def _legal(data: bytes | None) -> tuple[np.ndarray, ...] | None:
+    """The columns of decode() for legal UTF-8, all symbols at once; None for other bytes."""
+    try:
+        code = np.frombuffer((data or b"").decode().encode("utf-32-le"), np.uint32).astype(np.int32)
+    except UnicodeDecodeError:
+        return None
+    size = 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
+    at = np.arange(len(code), dtype=np.int32)
+    return at, at + 1, np.cumsum(size, dtype=np.int32), size, code
+
+
+def _any(data: bytes) -> tuple[np.ndarray, ...]:
+    """The columns of decode() for any bytes, symbol by symbol."""
+    out: list[tuple[int, ...]] = []
+    i = position = 0
+    while i < len(data):
+        size = 1 + sum(data[i] >= lead for lead in (0xC0, 0xE0, 0xF0, 0xF8, 0xFC))
+        chain = data[i : i + size]
+        whole = len(chain) == size
+        try:
+            code = ord(chain.decode()) if whole else 0
+            position += whole
+        except (UnicodeDecodeError, TypeError):
+            code = 0
+        i += len(chain)
+        out.append((len(out), position, i, size if whole else 0, code))
+    return tuple(np.array(out, np.int32).T)
+
+
 def decode(rows: DataFrame, key: str) -> DataFrame:
     """Symbols of bytes that may not be UTF-8 (key, data), as positions() gives them, in order of `at`.
 
@@ -32,25 +62,15 @@ def decode(rows: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int, int, int]] = []
-            for row, data in enumerate(batch.column("data").to_pylist()):
-                i = at = position = 0
-                while data and i < len(data):
-                    size = 1 + sum(data[i] >= lead for lead in (0xC0, 0xE0, 0xF0, 0xF8, 0xFC))
-                    chain = data[i : i + size]
-                    try:
-                        code = ord(chain.decode()) if len(chain) == size else 0
-                        position += len(chain) == size
-                    except (UnicodeDecodeError, TypeError):
-                        code = 0
-                    i += len(chain)
-                    out.append((row, at, position, i, size if len(chain) == size else 0, code))
-                    at += 1
-            row, *columns = (list(c) for c in zip(*out, strict=True)) if out else [[]] * 6
-            keys = batch.column(key).take(pa.array(row, pa.int64()))
-            names = [key, "at", "position", "byte_position", "size", "code"]
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, pa.int32()) for c in columns]], names)
+            if not batch.num_rows:
+                continue
+            found = [_legal(data) or _any(data) for data in batch.column("data").to_pylist()]
+            sizes = [len(columns[0]) for columns in found]
+            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int32), *c]), pa.int32()) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, *columns], [key, *names])
 
+    names = ["at", "position", "byte_position", "size", "code"]
     schema = f"{key} {kind}, at int, position int, byte_position int, size int, code int"
     return rows.select(key, "data").mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ from quillon.operators import kv, morphology, patterns, sets, symbols
 from quillon.operators import postings as P
 from quillon.operators.levels import Store
 from quillon.plans import search
-from quillon.runtime import Scratch, load
+from quillon.runtime import Scratch, load, running_sum
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -195,6 +195,23 @@ for _name in kv.POLICIES:
     _query(_newest() + "SELECT key, value FROM newest WHERE op = 0", f"kv_compact_{_name}")(_compacted(_name))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The whole log as a store of tables on levels."""
+    levels = kv.Levels("leveled", max_table_bytes=1 << 16)
+    return Store(spark, Scratch(spark, "kv").path("stored"), "bigint", "double", levels).flush(_log(spark, sf_dir))
+
+
+@_query(_newest("key = 42 AND seq <= 5000") + "SELECT key, value FROM newest WHERE op = 0")
+def kv_store_get(spark, sf_dir):
+    """A lookup that reads only the tables whose range holds the key."""
+    return _stored(spark, sf_dir).get(42, snapshot=5000)
+
+
+@_query(_newest("key > 77") + "SELECT key, value FROM newest WHERE op = 0 ORDER BY key LIMIT 1")
+def kv_store_bound(spark, sf_dir):
+    return _stored(spark, sf_dir).lower_bound(77, strict=True)
+
+
 @_query(
     f"WITH {_LOG}, kept AS (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(seq) AS seq FROM log WHERE seq <= 4000 GROUP BY key "
     "UNION SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value, max(seq) AS seq FROM log GROUP BY key) "
@@ -274,6 +291,32 @@ def index_compact(spark, sf_dir):
     return P.write(P.merged(*runs), scratch.path("merged")).groupBy("token").agg(F.count("*").alias("docs"))
 
 
+@_query(
+    r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, regexp_replace(l[i], '[^\p{L}]', ' ', 'g') AS line "
+    "FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+)
+def filtered_lines(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
+    return lines.withColumn("line", T.filter_line(F.col("line"), T.LETTERS))
+
+
+@_query(
+    "SELECT o_orderkey AS doc_id, 'creation_date' AS name, CAST(o_orderdate AS DATE) AS date FROM orders UNION ALL "
+    "SELECT o_orderkey, 'deletion_date', CAST(o_orderdate AS DATE) + 30 FROM orders WHERE o_orderstatus = 'F'"
+)
+def date_attributes(spark, sf_dir):
+    """Dates read from the lines of texts; a line with more than the attribute and a date that does not exist give none."""
+    orders = load(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("$creation_date:"), F.date_format("day", "yyyy-MM-dd")),
+        F.concat(F.lit("order $creation_date:2001-01-01 of "), F.col("o_custkey")),
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("$deletion_date:"), F.date_format(F.date_add("day", 30), "yyyy-MM-dd"))),
+        F.lit("$change_date:1999-02-30"),
+    )
+    return P.attributes(orders.select(F.col("o_orderkey").alias("doc_id"), lines.alias("text")))
+
+
 # --- search --------------------------------------------------------------------------------------------------------------
 
 
@@ -472,8 +515,13 @@ def utf8_positions(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("size").alias("bytes"), F.sum(wide).alias("place_sum"))
 
 
-@_query()
+@_query(
+    r"WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS symbol FROM documents) SELECT symbol, printf('%X', ord(symbol)) AS hex, CASE "
+    + " ".join(rf"WHEN regexp_full_match(symbol, '\p{{{c}}}') THEN '{c}'" for c in T.CATEGORIES if c not in ("Cn", "Cs"))
+    + r" END AS class, CASE WHEN symbol = 'ß' THEN 'ß' WHEN regexp_full_match(symbol, '\p{Lu}') THEN lower(symbol) ELSE upper(symbol) END AS other_case FROM s"
+)
 def symbol_describe(spark, sf_dir):
+    """The SQL names ß, which has no upper case of one symbol in the Unicode data but gets U+1E9E from DuckDB."""
     rows = _docs(spark, sf_dir).select(F.explode(T.symbols(F.col("text"))).alias("text")).distinct()
     return symbols.describe(rows.withColumn("key", F.col("text")), "key").select("symbol", "hex", "class", "other_case")
 
@@ -494,6 +542,26 @@ def decode_charsets(spark, sf_dir):
     return out
 
 
+_PAGES = {"cp1251": "cp1251", "cp866": "cp866", "iso-8859-1": "iso8859-1", "koi8-r": "koi8-r", "koi8-u": "koi8-u"}
+
+
+def _page_sql(charset: str) -> str:
+    """The text of two bytes from 128 on; the codes of the page come from the codec, 0 where it has none."""
+    codes = [ord(bytes([b]).decode(_PAGES[charset], "replace")) for b in range(128, 256)]
+    page = str([0 if c == 0xFFFD else c for c in codes])
+    return f"chr({page}[CAST(o_orderkey % 128 AS INTEGER) + 1]) || chr({page}[CAST(o_orderkey // 128 % 128 AS INTEGER) + 1]) AS \"{charset}\""
+
+
+@_query("SELECT o_orderkey AS key, " + ", ".join(map(_page_sql, _PAGES)) + " FROM orders WHERE o_orderkey % 128 <> 24 AND o_orderkey // 128 % 128 <> 24")
+def decode_pages(spark, sf_dir):
+    """Two bytes from each order's key in five code pages; byte 0x98, which has no character in one of them, is left to tests."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    low, high = F.col("key") % 128, F.floor(F.col("key") / 128) % 128
+    data = F.unhex(F.concat(F.hex(low + 128), F.hex(high + 128)))
+    rows = orders.filter((low != 24) & (high != 24)).withColumn("data", data)
+    return rows.select("key", *[charsets.decode(F.col("data"), c).alias(c) for c in _PAGES])
+
+
 @_query("SELECT o_orderkey AS key, o_orderkey + 1 AS again, CAST(o_orderkey % 256 AS INTEGER) AS low FROM orders")
 def scalar_bytes(spark, sf_dir):
     data = scalars.to_bytes(F.col("o_orderkey") + 1, 8)
@@ -544,6 +612,42 @@ def regular_union(spark, sf_dir):
     return _docs(spark, sf_dir).filter(F.col("text").rlike("th(er|e|at)+ion")).select("doc_id")
 
 
+_SEEN = r"seen AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '(\p{L}+)', 1)) AS word FROM documents)"
+_LANGUAGES = {1: "th(er|e|at)+", 2: "(in|on)*er", 3: "a*the", 4: "the|then|in"}
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.explode(T.words(T.lower(F.col("text")))).alias("word")).distinct()
+
+
+def _machine() -> patterns.Dfa:
+    """One automaton for _LANGUAGES, from concatenation, union, repetition and reversal."""
+    word, any_of = patterns.Nfa.word, patterns.any_of
+    more = any_of(word("er", 1), word("e", 1), word("at", 1))
+    parts = [
+        word("th").then(more).then(more.star()),
+        any_of(word("in"), word("on")).star().then(word("er", 2)),
+        word("eht", 3).then(word("a", 3).star()).reverse(),
+        any_of(word("the", 4), word("then", 4), word("in", 4)),
+    ]
+    return any_of(*parts).determined().minimal()
+
+
+@_query(f"WITH {_SEEN} " + " UNION ALL ".join(f"SELECT word, {i} AS id FROM seen WHERE regexp_full_match(word, '{r}')" for i, r in _LANGUAGES.items()))
+def automaton_words(spark, sf_dir):
+    found = patterns.accepted(F.col("word"), _machine())
+    return _seen(spark, sf_dir).select("word", F.explode(found).alias("id"))
+
+
+@_query("SELECT * FROM (VALUES (0, 'a', 1), (1, 'b', 2), (1, 'c', 2), (2, 'd', 1)) t(state, symbol, next_state)")
+def automaton_table(spark, sf_dir):
+    """The least automaton of a(b|c)(d(b|c))*."""
+    word = patterns.Nfa.word
+    either = patterns.any_of(word("b", 1), word("c", 1))
+    machine = word("a").then(either).then(word("d").then(either).star())
+    return machine.determined().minimal().transitions(spark)
+
+
 # --- morphology on a small dictionary --------------------------------------------------------------------------------------
 
 _BASES = [(1, 0, "мам", "мама"), (2, 1, "рам", "рама"), (3, 2, "", "и"), (4, 0, "ма", "маа")]
@@ -588,7 +692,26 @@ def morph_generate(spark, sf_dir):
     return morphology.generate(ask, _morph(spark))
 
 
-@_query()
+def _describe_sql(rules: pos.Language) -> str:
+    """SQL for the description of a packed attribute attr, from the fixed values of a language."""
+    out = ""
+    for n, (part, title) in enumerate(zip(rules.tags, rules.titles, strict=True)):
+        at, place = 5, {}
+        for name, bits in rules.layouts.get(part, ()):
+            place[name] = f"((attr >> {at}) & {(1 << bits) - 1})"
+            at += bits
+        told = [f"'{title}'"]
+        for name in rules.shown.get(part, ()):
+            texts = rules.values.get(f"{name}@{part}", rules.values[name])
+            cases = [f"WHEN {place[name]} = {v} THEN '{t}'" for v, t in texts.items()]
+            if not any(v & (v - 1) for v in texts):
+                cases += [f"WHEN {place[name]} & {v} <> 0 THEN '{t}'" for v, t in texts.items() if v]
+            told.append(f"CASE {' '.join(cases)} END")
+        out += f" WHEN {n} THEN concat_ws(', ', {', '.join(told)})"
+    return f"CASE attr & 31{out} ELSE '{rules.titles[0]}' END"
+
+
+@_query(f"WITH {_MORPH_SQL} SELECT word, lem_id, attr, {_describe_sql(pos.RUSSIAN)} AS description FROM found WHERE word IN ({', '.join(repr(w) for w in _MORPH_WORDS)})")
 def morph_describe(spark, sf_dir):
     return morphology.describe(_word_list(spark), _morph(spark))
 
@@ -601,9 +724,82 @@ def pos_decode(spark, sf_dir):
     return got.select("attr", F.col("attr").bitwiseAND(31).alias("tag_code"), noun("number").alias("noun_number"), noun("case").alias("noun_case"))
 
 
-@_query()
+_PACKED = "WITH a AS (SELECT DISTINCT CAST(l_orderkey * 31 % 262144 AS INTEGER) AS attr FROM lineitem) "
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 31 % 262144).cast("int").alias("attr")).distinct()
+
+
+@_query(
+    _PACKED + "SELECT attr, CASE attr & 31 WHEN 11 THEN (attr >> 5) & 15 WHEN 12 THEN (attr >> 5) & 15 WHEN 14 THEN (attr >> 5) & 15 END AS number, "
+    "CASE attr & 31 WHEN 3 THEN (attr >> 5) & 7 END AS time, CASE attr & 31 WHEN 1 THEN (attr >> 5) & 3 WHEN 2 THEN (attr >> 5) & 3 END AS degree, "
+    "CASE attr & 31 WHEN 3 THEN (attr >> 10) & 7 WHEN 12 THEN (attr >> 14) & 7 END AS person FROM a"
+)
+def pos_decode_english(spark, sf_dir):
+    got = _packed(spark, sf_dir).withColumn("p", pos.decode(F.col("attr"), pos.ENGLISH))
+    return got.select("attr", "p.number", "p.time", "p.degree", "p.person")
+
+
+@_query(_PACKED + " UNION ALL ".join(f"SELECT '{k}' AS language, attr, {_describe_sql(rules)} AS description FROM a" for k, rules in pos.LANGUAGES.items()))
 def pos_describe(spark, sf_dir):
-    rows = spark.createDataFrame([(lang, pos.pack(rules, t)) for lang, rules in pos.LANGUAGES.items() for t in rules.tags], "language string, attr int")
-    return rows.select("language", "attr", F.when(F.col("language") == "ru", pos.describe(F.col("attr"), pos.RUSSIAN)).otherwise(pos.describe(F.col("attr"), pos.ENGLISH)).alias("description"))
+    rows = _packed(spark, sf_dir)
+    told = [rows.select(F.lit(k).alias("language"), "attr", pos.describe(F.col("attr"), rules).alias("description")) for k, rules in pos.LANGUAGES.items()]
+    return told[0].unionByName(told[1])
+
+
+# --- morphology of all documents: the words of benchmark are the bases, by turns nouns, verbs and pronouns (stop words) ----
+
+_ENDINGS = [
+    (0, 0, "", pos.pack(pos.ENGLISH, "noun", number=1)),
+    (0, 1, "er", pos.pack(pos.ENGLISH, "noun", number=2)),
+    (0, 2, "on", pos.pack(pos.ENGLISH, "noun", number=2, case=2)),
+    (1, 0, "", pos.pack(pos.ENGLISH, "verb", time=1)),
+    (1, 1, "ed", pos.pack(pos.ENGLISH, "verb", time=3)),
+    (1, 2, "in", pos.pack(pos.ENGLISH, "verb", time=6)),
+    (2, 0, "", pos.pack(pos.ENGLISH, "pronoun_noun")),
+    (2, 1, "th", pos.pack(pos.ENGLISH, "pronoun_adjective", form=1)),
+]
+_LEXICON = (
+    "WITH stems AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS base FROM benchmark), "
+    "bases AS (SELECT base, row_number() OVER (ORDER BY base) - 1 AS lem_id FROM stems), "
+    f"suffixes(line_id, ord, suffix, attr) AS (VALUES {', '.join(map(str, _ENDINGS))}), "
+    "forms AS (SELECT base || suffix AS word, base AS main_form, length(base) AS base_len, CAST(lem_id AS INTEGER) AS lem_id, ord, attr FROM bases JOIN suffixes ON lem_id % 3 = line_id), "
+    + _SEEN + " "
+)
+_SENSES = (
+    _LEXICON + ", first AS (SELECT word, arg_min(attr & 31, (base_len, lem_id, ord)) AS tag FROM forms GROUP BY word), "
+    "kept AS (SELECT s.word, coalesce(f.main_form, s.word) AS form FROM seen s LEFT JOIN first t USING (word) LEFT JOIN forms f ON f.word = s.word WHERE coalesce(t.tag, 0) <= 12), "
+    rf"told AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS word FROM documents), post AS (SELECT DISTINCT doc_id, '^' || form || '$' AS token FROM told JOIN kept USING (word)) "
+)
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> morphology.Dictionary:
+    texts = load(spark, sf_dir, "benchmark").select(F.explode(T.words(T.lower(F.col("text")), "a-z")).alias("base"))
+    ids = F.col("lem_id").cast("int")
+    bases = running_sum(texts.distinct(), ["base"], F.lit(1), "lem_id")
+    bases = bases.select(ids.alias("lem_id"), (ids % 3).alias("line_id"), "base", F.col("base").alias("main_form"))
+    return morphology.Dictionary("en", bases, spark.createDataFrame(_ENDINGS, "line_id int, ord int, suffix string, attr int"))
+
+
+@_query(_LEXICON + f"SELECT word, lem_id, attr, {_describe_sql(pos.ENGLISH)} AS description FROM forms JOIN seen USING (word)")
+def morph_senses(spark, sf_dir):
+    return morphology.describe(_seen(spark, sf_dir), _lexicon(spark, sf_dir))
+
+
+@_query(_SENSES + "SELECT token, doc_id FROM post")
+def morph_postings(spark, sf_dir):
+    """Postings of main forms; stop words have none and unknown words stand for themselves."""
+    return P.postings(_docs(spark, sf_dir), P.Profile(morph=_lexicon(spark, sf_dir)))
+
+
+@_query(_SENSES + "SELECT DISTINCT doc_id FROM post WHERE token IN (SELECT '^' || form || '$' FROM kept WHERE word = 'then')")
+def morph_search(spark, sf_dir):
+    return _index(spark, sf_dir, profile=P.Profile(morph=_lexicon(spark, sf_dir))).search("then")
 
 
+@_query(_LEXICON + "SELECT lem_id, word AS form FROM forms")
+def morph_paradigms(spark, sf_dir):
+    """All forms of every base."""
+    morph = _lexicon(spark, sf_dir)
+    return morphology.all_forms(morph.bases, morph).select("lem_id", F.explode("forms").alias("form"))

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.operators import patterns, sets
 
@@ -80,3 +81,18 @@ def test_dfa_rows(spark):
     dfa = patterns.any_of(patterns.Nfa.word("ab", 1), patterns.Nfa.word("cb", 1)).determined().minimal()
     assert len(dfa.table) == 3 and dfa.transitions(spark).count() == 3
     assert "accepts [1]" in str(patterns.Nfa.word("ab", 1))
+
+
+def test_accepted_by_an_expression(spark):
+    word = patterns.Nfa.word
+    nfa = patterns.any_of(word("aé", 7).star(), word("a", 2).then(word("😀", 5)), word("aé", 1))
+    dfa = nfa.determined().minimal()
+    texts = ["", "a", "aé", "aéaé", "a😀", "a😀a", "x", "aéx", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", patterns.accepted(F.col("text"), dfa).alias("ids"))
+    got = {r["text"]: r["ids"] for r in rows.collect()}
+    assert got == {t: None if t is None else sorted(nfa.match(t)) for t in texts}
+    assert got["aé"] == [1, 7] and got["a😀"] == [5] and got[""] == [7]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    nothing = patterns.Dfa([{}], [set()])
+    assert rows.select(patterns.accepted(F.col("text"), nothing).alias("ids")).filter("size(ids) > 0").count() == 0

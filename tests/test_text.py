@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.functions import charsets, scalars
@@ -83,6 +85,14 @@ def test_bytes_that_may_not_be_utf8(spark):
     assert set(got) == {0, 1}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=20))
+def test_legal_bytes_decode_alike_on_both_ways(text):
+    data = text.encode()
+    fast, slow = symbols._legal(data), symbols._any(data)
+    assert [list(c) for c in fast] == ([list(c) for c in slow] or [[]] * 5)
+
+
 def test_scalar_bytes(spark):
     df = spark.createDataFrame([(1,), (0xFFFFFFFF,), (0,), (-2,)], "v long")
     rows = df.select("v", scalars.to_bytes(F.col("v"), 4).alias("a"), scalars.to_bytes(F.col("v"), 8).alias("b")).collect()
