@@ -23,6 +23,13 @@ _PAGES = {
 CHARSETS = tuple(_PAGES)
 
 
+def register(charset: str, codec: str, other: dict[int, str] | None = None) -> None:
+    """Add a page: a single-byte Python codec and the bytes that differ from it. A name that is taken is an error."""
+    if charset in _PAGES:
+        raise ValueError(f"there is a page {charset!r}")
+    _PAGES[charset] = (codec, other or {})
+
+
 @functools.cache
 def table(charset: str) -> tuple[str, ...]:
     """The character of each byte."""

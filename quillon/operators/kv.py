@@ -10,6 +10,7 @@ deletes are told by op alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +79,13 @@ def scan(log: DataFrame, start: object = None, end: object = None, snapshot: int
     return live(newest(log, snapshot))
 
 
+def merged(log: DataFrame, **rules: Callable[[Column], Column]) -> DataFrame:
+    """Per key with a put since its last delete: each rule, an aggregate function, over the values of these puts."""
+    gone = log.filter(F.col("op") == DELETE).groupBy("key").agg(F.max("seq").alias("_last"))
+    held = log.filter(F.col("op") == PUT).join(gone, "key", "left").filter("_last is null or seq > _last")
+    return held.groupBy("key").agg(*[rule(F.col("value")).alias(name) for name, rule in rules.items()])
+
+
 def versions(log: DataFrame) -> DataFrame:
     """All versions, deletes too, in internal order: key up, seq down, op up."""
     return log.orderBy("key", F.desc("seq"), "op")

@@ -72,10 +72,13 @@ def located(rows: DataFrame, ends: list, name: str) -> DataFrame:
 
 
 class Store:
-    """A store in a folder that the driver and all executors reach. Opening an existing one reads its last manifest."""
+    """A store in a folder that the driver and all executors reach. Opening an existing one reads its last manifest.
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "binary", value: str = "binary", levels: kv.Levels = kv.Levels(), trigger: int = 2) -> None:
-        self.spark, self.path, self.levels, self.trigger = spark, path.rstrip("/"), levels, trigger
+    form: the data source of the tables, any that keeps the types of key and value; it must stay the same for one folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "binary", value: str = "binary", levels: kv.Levels = kv.Levels(), trigger: int = 2, form: str = "parquet") -> None:
+        self.spark, self.path, self.levels, self.trigger, self.form = spark, path.rstrip("/"), levels, trigger, form
         self.schema = t.StructType.fromDDL(f"key {key}, seq long, op tinyint, value {value}")
         kind = self.schema["key"].dataType
         self._entry = t.StructType(
@@ -127,7 +130,7 @@ class Store:
     def _read(self, tables: list[Table]) -> DataFrame:
         if not tables:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[x.path for x in tables])
+        return self.spark.read.schema(self.schema).format(self.form).load([x.path for x in tables])
 
     def _cuts(self, rows: DataFrame, whole: bool = False) -> list:
         """Key ranges of about `max_table_bytes`, none across two values of `_group`; with `whole`, one range."""
@@ -150,7 +153,7 @@ class Store:
         placed = located(rows.select(*COLUMNS), [_plain(r["high"]) for r in cuts[:-1]], "table")
         ranged = placed.repartitionByRange(max(1, math.ceil(size / self.levels.max_table_bytes)), "table", "key", "seq")
         writer = ranged.sortWithinPartitions("table", "key", F.desc("seq"), "op").write.partitionBy("table")
-        writer.option("parquet.bloom.filter.enabled#key", "true").parquet(root)
+        writer.format(self.form).option("parquet.bloom.filter.enabled#key", "true").option("orc.bloom.filter.columns", "key").save(root)
         self.written[level] = self.written.get(level, 0) + size
         return [Table(level, f"{root}/table={i}", _plain(r["low"]), _plain(r["high"]), r["versions"], r["bytes"]) for i, r in enumerate(cuts)]
 

@@ -7,7 +7,7 @@ with a symbol outside the language's alphabet has no analysis, also where only t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,16 @@ class Dictionary:
     language: str
     bases: DataFrame
     suffixes: DataFrame
+    #: A pattern for one symbol of the alphabet; that of the language if none is given.
+    alphabet: str | None = None
+
+    def with_bases(self, rows: DataFrame) -> Dictionary:
+        """The dictionary with more bases (lem_id, line_id, base, main_form)."""
+        return replace(self, bases=self.bases.unionByName(rows))
+
+    def with_suffixes(self, rows: DataFrame) -> Dictionary:
+        """The dictionary with more suffix lines (line_id, ord, suffix, attr)."""
+        return replace(self, suffixes=self.suffixes.unionByName(rows))
 
     def write(self, path: str) -> None:
         self.bases.write.mode("overwrite").parquet(f"{path}/bases")
@@ -105,7 +115,7 @@ def compile_dictionary(spark: SparkSession, language: str, tabs: dict[str, int],
 
 def analyze(words: DataFrame, morph: Dictionary) -> DataFrame:
     """Every (word, lem_id, attr) of words (word), with the base's length and the suffix's place for order."""
-    known = words.select("word").distinct().filter(F.col("word").rlike(f"^{ALPHABETS[morph.language]}+$"))
+    known = words.select("word").distinct().filter(F.col("word").rlike(f"^(?:{morph.alphabet or ALPHABETS[morph.language]})+$"))
     cut = known.select("word", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("base_len"))
     cut = cut.withColumn("base", F.expr("substring(word, 1, base_len)")).withColumn("suffix", F.expr("substring(word, base_len + 1)"))
     return (

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -249,6 +249,16 @@ class Dfa:
         """The move table as rows state, symbol, next_state."""
         return spark.createDataFrame([(s, c, t) for s, row in enumerate(self.table) for c, t in sorted(row.items())], "state int, symbol string, next_state int")
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """One row a state: its ids and its moves."""
+        rows = [(s, sorted(self.accepts[s]), sorted(row.items())) for s, row in enumerate(self.table)]
+        spark.createDataFrame(rows, "state int, ids array<int>, moves array<struct<symbol:string,next_state:int>>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Dfa:
+        rows = spark.read.parquet(path).orderBy("state").collect()
+        return cls([{m["symbol"]: m["next_state"] for m in r["moves"]} for r in rows], [set(r["ids"]) for r in rows])
+
 
 def accepted(text: Column, machine: Dfa) -> Column:
     """The ids, ascending, of the languages a text is in; no id gives an empty array, a null text null.

@@ -71,6 +71,13 @@ def measures(ids: DataFrame) -> DataFrame:
     return ids.agg(F.count("*").alias("cardinality"), F.min("doc_id").alias("minimum"), F.max("doc_id").alias("maximum"))
 
 
+def is_full(ids: DataFrame, universe: DataFrame) -> DataFrame:
+    """Whether the set is empty, and whether it holds every id of the universe."""
+    tagged = ids.select("doc_id", F.lit(1).alias("held"), F.lit(0).alias("wanted")).unionByName(universe.select("doc_id", F.lit(0).alias("held"), F.lit(1).alias("wanted")))
+    both = tagged.groupBy("doc_id").agg(F.max("held").alias("held"), F.max("wanted").alias("wanted"))
+    return both.agg((F.coalesce(F.max("held"), F.lit(0)) == 0).alias("empty"), (F.count_if(F.col("held") < F.col("wanted")) == 0).alias("full"))
+
+
 def contains(ids: DataFrame, probes: DataFrame) -> DataFrame:
     """Each probe with whether it is in the set."""
     have = ids.withColumn("inside", F.lit(True))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import kv
 
@@ -107,3 +108,9 @@ def test_squashed_keeps_what_snapshots_see(spark):
     assert small.count() <= 60
     last = {k: o for k, _, o, _ in rows}
     assert kv.squashed(df).count() == sum(o == kv.PUT for o in last.values()), "without snapshots no delete stays"
+
+
+def test_merge_rules(spark):
+    rows = [(b"a", 1, 0, "1"), (b"a", 2, 1, None), (b"a", 3, 0, "2"), (b"a", 4, 0, "5"), (b"b", 5, 0, "7"), (b"c", 6, 0, "8"), (b"c", 7, 1, None)]
+    got = kv.merged(log(spark, rows), top=F.max, n=F.count)
+    assert sorted((bytes(r["key"]), r["top"], r["n"]) for r in got.collect()) == [(b"a", "5", 2), (b"b", "7", 1)]

@@ -112,3 +112,13 @@ def test_located_counts_ends_below_the_key(spark):
     rows = spark.createDataFrame([(k, s) for k in range(10) for s in range(3)], "key int, seq long")
     got = {r["key"]: r["n"] for r in located(rows, [2, 5, 9], "n").collect()}
     assert got == {k: (k > 2) + (k > 5) for k in range(10)}
+
+
+def test_tables_of_another_source(spark, tmp_path):
+    levels = kv.Levels("granular", max_table_bytes=900)
+    held = Store(spark, f"file://{tmp_path}/orc", value="string", levels=levels, form="orc")
+    runs = batches(2, 50)
+    for rows in runs:
+        held.flush(run_of(spark, rows))
+    again = Store(spark, f"file://{tmp_path}/orc", value="string", levels=levels, form="orc")
+    assert pairs(again.scan()) == state(runs[0] + runs[1], 100)

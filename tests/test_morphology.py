@@ -25,6 +25,19 @@ def test_goldens(spark):
         morphology.dictionary(spark, "ru", [(1, 5, "x", "x")], [(0, 0, "", 1)])
 
 
+def test_dictionary_grows_and_takes_an_alphabet(spark):
+    more = morphology.Dictionary("en", *_tables(spark, [(1, 0, "no", "no")], [(0, 0, "", 1)]), alphabet="[a-z'ñ]")
+    bases, suffixes = _tables(spark, [(2, 1, "niñ", "niño")], [(1, 0, "o's", 2)])
+    more = more.with_bases(bases).with_suffixes(suffixes)
+    got = {(r["word"], r["lem_id"]) for r in morphology.analyze(words(spark, "no", "niño's", "no-"), more).collect()}
+    assert got == {("no", 1), ("niño's", 2)}
+
+
+def _tables(spark, bases, suffixes):
+    held = morphology.dictionary(spark, "en", bases, suffixes)
+    return held.bases, held.suffixes
+
+
 def test_dictionary_source(spark, tmp_path):
     tabs = morphology.parse_tabs(["// comment", "", "  аа A С мр,ед,им", "аб A С мр,ед,рд", "зз A НЕЧТО"], "ru")
     assert tabs == {"аа": pos.pack(pos.RUSSIAN, "noun", gender=1, number=1, case=1), "аб": pos.pack(pos.RUSSIAN, "noun", gender=1, number=1, case=2), "зз": 0}

@@ -83,6 +83,19 @@ def test_dfa_rows(spark):
     assert "accepts [1]" in str(patterns.Nfa.word("ab", 1))
 
 
+def test_written_automaton(spark, tmp_path):
+    dfa = patterns.any_of(patterns.Nfa.word("ab", 1), patterns.Nfa.word("cb", 2).star()).determined().minimal()
+    dfa.write(spark, f"{tmp_path}/dfa")
+    assert patterns.Dfa.read(spark, f"{tmp_path}/dfa") == dfa
+
+
+def test_empty_and_full(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    assert tuple(sets.is_full(ids(1, 2, 9), ids(1, 2)).first()) == (False, True)
+    assert tuple(sets.is_full(ids(1), ids(1, 2)).first()) == (False, False)
+    assert tuple(sets.is_full(ids(), ids()).first()) == (True, True)
+
+
 def test_accepted_by_an_expression(spark):
     word = patterns.Nfa.word
     nfa = patterns.any_of(word("aé", 7).star(), word("a", 2).then(word("😀", 5)), word("aé", 1))

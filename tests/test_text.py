@@ -63,6 +63,15 @@ def test_code_pages(spark, charset):
     assert len(charsets.table(charset)) == 256
 
 
+def test_another_page(spark, monkeypatch):
+    monkeypatch.setattr(charsets, "_PAGES", dict(charsets._PAGES))
+    charsets.register("test-page", "cp437", {0x80: "☃"})
+    row = spark.createDataFrame([(bytearray([0x41, 0x80, 0x81]),)], "b binary")
+    assert row.select(charsets.decode(F.col("b"), "test-page")).first()[0] == "A☃ü"
+    with pytest.raises(ValueError):
+        charsets.register("cp866", "cp866")
+
+
 def test_known_bytes():
     assert charsets.table("koi8-ru")[0xAE] == "ў" and charsets.table("koi8-ru")[0xBE] == "Ў"
     assert charsets.table("mac-ukraine")[0xA2] == "Ґ" and charsets.table("mac-cyrillic")[0xA2] == "¢"
