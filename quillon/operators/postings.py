@@ -83,8 +83,10 @@ def postings(docs: DataFrame, profile: Profile = Profile(), config: IndexConfig
     kept = F.filter(found, lambda w: ~w.isin(*profile.stop_words)) if profile.stop_words else found
     if profile.morph is None:
         grams = lambda w: T.kgrams(w, config.kgram)
-        each = F.array_distinct(F.flatten(F.transform(kept, grams))) if config.kgram else F.transform(kept, mark)
-        tokens = docs.select(F.explode(each).alias("token"), "doc_id")
+        if config.kgram:
+            tokens = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(kept, grams)))).alias("token"), "doc_id")
+        else:
+            tokens = docs.select(F.explode(kept).alias("word"), "doc_id").select(mark(F.col("word")).alias("token"), "doc_id")
         return tokens.distinct() if _ids_repeat(docs) else tokens
     words = docs.select("doc_id", F.explode(found).alias("word"))
     words = words.join(forms_of(words, profile), "word").filter("not stop")

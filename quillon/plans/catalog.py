@@ -248,14 +248,18 @@ def _index(spark: SparkSession, sf_dir: str, **more) -> search.Index:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _write_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build the postings of all documents and write them where the later queries of the application read them."""
+    path = Scratch(spark, "index").path("postings")
+    written = P.write(P.postings(_docs(spark, sf_dir)), path)
+    _WRITTEN[spark.sparkContext.applicationId, sf_dir] = path
+    return written
+
+
 def _stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings of all documents, written by the first query of the application that reads them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN or not exists(spark, _WRITTEN[key]):
-        path = Scratch(spark, "index").path("postings")
-        P.write(P.postings(_docs(spark, sf_dir)), path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    """The written postings; the first query that needs them writes them."""
+    path = _WRITTEN.get((spark.sparkContext.applicationId, sf_dir))
+    return spark.read.parquet(path) if path and exists(spark, path) else _write_postings(spark, sf_dir)
 
 
 def _stored_index(spark: SparkSession, sf_dir: str, **more) -> search.Index:
@@ -301,7 +305,7 @@ def index_get(spark, sf_dir):
 
 @_query(f"WITH {_POST} SELECT token, count(*) AS docs FROM post WHERE starts_with(token, '^an') GROUP BY token")
 def index_write(spark, sf_dir):
-    written = P.write(P.postings(_docs(spark, sf_dir)), Scratch(spark, "index").path("postings"))
+    written = _write_postings(spark, sf_dir)
     return written.filter(F.col("token").startswith("^an")).groupBy("token").agg(F.count("*").alias("docs"))
 
 
