@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,16 +218,23 @@ def _repeats(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc[heads]), pa.array(text_hash[heads]), pa.array(first[heads]), pa.array(first[ends])], ["doc_id", "text_hash", "low", "high"])
 
 
-def _known(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
-    """Rows whose doc_id may be in ids, or those whose doc_id is not; both together are all rows."""
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
+def _filter(ids: DataFrame) -> Broadcast:
+    """A bloom filter of the ids, sent to all tasks."""
+    return ids.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
+
+
+def _may_hold(filter_: Broadcast, ids: pa.Array) -> np.ndarray:
+    """Whether each doc_id may be one of those the filter was made of; a null is none of them."""
+    return may_hold(filter_.value, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False)) & np.asarray(ids.is_valid())
+
+
+def _known(docs: DataFrame, filter_: Broadcast) -> DataFrame:
+    """Rows whose doc_id may be in the filter."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column("doc_id")
-            may = may_hold(filter_.value, pa.compute.fill_null(known, 0).to_numpy(zero_copy_only=False)) & np.asarray(known.is_valid())
-            yield batch.filter(pa.array(may if inside else ~may))
+            yield batch.filter(pa.array(_may_hold(filter_, batch.column("doc_id"))))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -242,12 +250,17 @@ def cut_words(words: list[bytes], ranges: list[dict] | None, window: int) -> lis
     return kept + words[at:]
 
 
-def _texts(window: int, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _texts(window: int, keep: tuple[str, ...], but: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The result's rows; without those that _known() finds by the filter `but`, if one is given."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if but is not None:
+                batch = batch.filter(pa.array(~_may_hold(but, batch.column("doc_id"))))
             total, kept = [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            gone = batch.column("ranges").to_pylist()
+            for text, ranges in zip(batch.column("text").to_pylist(), gone, strict=True):
                 words = (text or "").encode().split()  # of bytes: at 0x20 and 0x09-0x0D
                 total.append(len(words))
                 kept.append(cut_words(words, ranges, window))
@@ -257,7 +270,7 @@ def _texts(window: int, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBa
                     pa.array(total, pa.int64()),
                     pa.array([n - len(k) for n, k in zip(total, kept, strict=True)], pa.int64()),
                     pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]),
-                    pa.array([None if not r else b" ".join(k).decode() for k, r in zip(kept, batch.column("ranges").to_pylist(), strict=True)], pa.string()),
+                    pa.array([None if not r else b" ".join(k).decode() for k, r in zip(kept, gone, strict=True)], pa.string()),
                 ],
                 [*keep, "n_words", "n_removed", "kept_sha256", "kept"],
             )
@@ -282,15 +295,15 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True, keep: tuple[str
     probes = live.mapInArrow(_probes(block, buckets), _ANCHOR_ROW)
     anchors = probes.groupBy("bucket").applyInArrow(_anchors, "doc_id long, text_hash long, block int")
     anchors = scratch.table(anchors.groupBy("doc_id", "text_hash").agg(F.collect_set("block").alias("blocks")), "anchors")
-    near = _known(live, anchors.select(F.col("doc_id").alias("id")), inside=True).join(anchors.hint("merge"), ["doc_id", "text_hash"])
+    near = _known(live, _filter(anchors.select(F.col("doc_id").alias("id")))).join(anchors.hint("merge"), ["doc_id", "text_hash"])
     repeats = near.mapInArrow(_windows(window, buckets), _WINDOW_ROW).groupBy("bucket").applyInArrow(_repeats, "doc_id long, text_hash long, low int, high int")
     ranges = scratch.table(repeats.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
-    names = ranges.select(F.col("doc_id").alias("id"))
-    cut = _known(source, names, inside=True).join(ranges.hint("merge"), ["doc_id", "text_hash"], "left")
-    whole = _known(source, names, inside=False).withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+    passed = _filter(ranges.select(F.col("doc_id").alias("id")))
     names = ["doc_id", "text", *[f"more.{c}" for c in more], "ranges"]
-    rows = whole.select(*names).unionByName(cut.select(*names))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    cut = _known(source, passed).join(ranges.hint("merge"), ["doc_id", "text_hash"], "left").select(*names)
+    whole = source.withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)).select(*names)
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", n_words long, n_removed long, kept_sha256 string, kept string"
-    out = rows.mapInArrow(_texts(window, keep), schema)
+    # Each side has its own _texts, and the other rows are told apart there: a task then never has two Python workers at once.
+    out = whole.mapInArrow(_texts(window, keep, but=passed), schema).unionByName(cut.mapInArrow(_texts(window, keep), schema))
     return out if texts else out.drop("kept")

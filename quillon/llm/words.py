@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1_000_000
-_SLICE_WORDS = 150_000
+#: Words that are hashed at a time; arrays hold about forty bytes for each byte of them.
+_SLICE_WORDS = 30_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

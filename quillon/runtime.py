@@ -111,11 +111,20 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"cannot rename {path} to {to}")
 
 
-def small_batches(spark: SparkSession, most: int = 2000) -> None:
-    """Lower the session's Arrow batches to `most` rows, for operators on whole texts: a worker holds one batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= most:
-        spark.conf.set(key, str(most))
+def small_batches(spark: SparkSession, most: int = 2000, size: int = 2 << 20, read: int = 512) -> None:
+    """Lower the session's batches, for operators on whole texts, as an executor holds some batches for each task.
+
+    Arrow batches get `most` rows and about `size` bytes at most (a row may be larger), in Spark's memory and in a worker's;
+    what is read of Parquet at once gets `read` rows. Lower settings stay.
+    """
+    for key, usual, bound in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", most),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "64m", size),
+        ("spark.sql.parquet.columnarReaderBatchSize", "4096", read),
+    ):
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, usual))
+        if not 0 < held <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def running_sum(rows: DataFrame, keys: list, value, name: str) -> DataFrame:
