@@ -603,7 +603,7 @@ def scalar_bytes(spark, sf_dir):
 @_query("SELECT doc_id, count(*) AS symbols, CAST(sum(ord(ch)) AS BIGINT) AS code_sum FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY doc_id")
 def utf8_decode(spark, sf_dir):
     data = _docs(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("data"))
-    return symbols.decode(data, "doc_id").groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("code").alias("code_sum"))
+    return symbols.decode(data, "doc_id", ("code",)).groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("code").alias("code_sum"))
 
 
 # --- patterns ------------------------------------------------------------------------------------------------------------

@@ -1,3 +1,6 @@
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,3 +112,24 @@ def test_scalar_bytes(spark):
     assert [bytes(r["a"]) for r in rows][:3] == [v.to_bytes(4, "little") for v in (1, 0xFFFFFFFF, 0)]
     back = df.select(scalars.from_bytes(scalars.to_bytes(F.col("v"), 8), 8)).collect()
     assert [r[0] for r in back] == [1, 0xFFFFFFFF, 0, -2]
+
+
+def test_long_texts_leave_in_bounded_batches(spark, monkeypatch):
+    """A batch holds about PIECE symbols, and a text cut in pieces has the columns of the whole."""
+    texts = [b"ab\xff\xe2\x82" * 3, "aщ₂𝒳".encode() * 40_000, b"", b"\xf0\x9d\x92" + b"x" * 200_000, b"\x80" * 70_000, "щ".encode() * 70_000 + b"\xe2\x82"]
+    for data in texts:
+        whole = symbols._any(data) if data else ()
+        parts = list(symbols._pieces(data))
+        assert b"".join(p["symbol"][1] for p in parts) == data
+        for name, column in zip(("at", "position", "byte_position", "size", "code"), whole):
+            assert (np.concatenate([p[name] for p in parts]) == column).all()
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(texts)], "id int, data binary")
+    run = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda rows, f, schema: run.update(f=f))
+    symbols.decode(df, "id", ("code", "symbol"))
+    held = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "data": texts})
+    got = list(run["f"](iter([held])))
+    assert max(b.num_rows for b in got) < 2 * symbols.PIECE
+    for i, data in enumerate(texts):
+        rows = [b.filter(pc.equal(b.column("id"), i)) for b in got]
+        assert b"".join(s for b in rows for s in b.column("symbol").to_pylist()) == data
