@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -17,15 +17,14 @@ from quillon.runtime import small_batches
 PIECE = 1 << 16
 
 
-def positions(rows: DataFrame, key: str) -> DataFrame:
+def positions(rows: DataFrame, key: str, columns: tuple[str, ...] = ("position", "symbol", "byte_position", "size", "code")) -> DataFrame:
     """Per symbol of each text (key, text): its position, its last byte's position (both from 1), its bytes and code point.
 
-    key tells the texts apart; the running sum stays within a text.
+    key tells the texts apart; a text is walked in its own row, so nothing is sorted or sent. Name fewer columns to make fewer.
     """
-    each = rows.select(key, F.posexplode(T.symbols(F.col("text"))).alias("at", "symbol"))
-    sized = each.select(key, (F.col("at") + 1).alias("position"), "symbol", F.octet_length("symbol").alias("size"))
-    until = F.sum("size").over(Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    return sized.select(key, "position", "symbol", until.alias("byte_position"), "size", F.ascii("symbol").alias("code"))
+    each = decode(rows.select(key, F.col("text").cast("binary").alias("data")), key, columns)
+    kinds = {"symbol": "string", "byte_position": "long"}
+    return each.select(key, *[F.col(c).cast(kinds.get(c, "int")).alias(c) for c in columns])
 
 
 def _legal(data: bytes | None) -> tuple[np.ndarray, ...] | None:

@@ -541,7 +541,7 @@ def symbol_classes(spark, sf_dir):
     "(SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p) AS pl FROM e) GROUP BY doc_id"
 )
 def utf8_positions(spark, sf_dir):
-    rows = symbols.positions(_docs(spark, sf_dir), "doc_id")
+    rows = symbols.positions(_docs(spark, sf_dir), "doc_id", ("byte_position", "size"))
     wide = F.when(F.col("size") > 1, F.col("byte_position"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("size").alias("bytes"), F.sum(wide).alias("place_sum"))
 

@@ -133,3 +133,11 @@ def test_long_texts_leave_in_bounded_batches(spark, monkeypatch):
     for i, data in enumerate(texts):
         rows = [b.filter(pc.equal(b.column("id"), i)) for b in got]
         assert b"".join(s for b in rows for s in b.column("symbol").to_pylist()) == data
+
+
+def test_positions_need_no_exchange(spark):
+    rows = spark.createDataFrame([(1, "aщ𝒳"), (2, None), (3, "")], "id int, text string")
+    got = symbols.positions(rows, "id")
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "a", 1, 1, 97), (1, 2, "щ", 3, 2, 0x449), (1, 3, "𝒳", 7, 4, 0x1D4B3)]
+    assert got.schema.simpleString() == "struct<id:int,position:int,symbol:string,byte_position:bigint,size:int,code:int>"
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
