@@ -6,6 +6,7 @@ is the distinct (token, doc_id). Documents keep their own ids; nothing is packed
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,10 @@ from quillon.runtime import running_sum
 _DATE = r"\$[A-Za-z_]+:[0-9]{4}-[0-9]{2}-[0-9]{2}"
 #: The letters of the Russian profile; ё stands apart from the range а-я.
 RUSSIAN_LETTERS = "А-Яа-яЁё"
+#: A dictionary of up to so many words is sent to every task.
+FEW = 200_000
+#: A task that sorts postings gets about so many rows.
+ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -132,12 +137,26 @@ def date_bits(dates: DataFrame) -> DataFrame:
     """(doc_id, token): a date as bit tokens name00 to name63 of its nanoseconds, and name64 for having one.
 
     Days before 1970 would wrap, and days after 2262 do not fit: those have no bits but name64. Comparisons use the date
-    column, this is for exchange only.
+    column, this is for exchange only. Dates of one document and name give the union of their tokens.
     """
     nanos = F.try_multiply(F.unix_date("date").cast("long"), F.lit(86_400_000_000_000))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.getbit(nanos, i), F.lit(0)) == 1)
-    tokens = F.concat(F.transform(bits, lambda i: F.concat(F.col("name"), F.lpad(i.cast("string"), 2, "0"))), F.array(F.concat("name", F.lit("64"))))
-    return dates.select("doc_id", F.explode(tokens).alias("token")).distinct()
+    nanos = F.when(F.col("name").isNotNull(), nanos)
+    held = dates.groupBy("doc_id", "name").agg(F.coalesce(F.bit_or(nanos), F.lit(0)).alias("bits"))
+    each = held.select("doc_id", "name", "bits", F.posexplode(F.array(*[F.lit(f"{i:02d}") for i in range(65)])).alias("at", "digits"))
+    # The shift of a long takes its count modulo 64, so place 64 needs no other guard.
+    kept = each.filter((F.col("at") == 64) | F.expr("shiftright(bits, at) & 1 = 1"))
+    return kept.select("doc_id", F.concat("name", "digits").alias("token"))
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Written rows by ranges of token and doc_id of about ROWS rows, so neither more rows nor a frequent token make a larger task."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(max(1, least, math.ceil(rows.count() / ROWS)), "token", "doc_id")
+
+
+def _write_sorted(ranged: DataFrame, path: str) -> DataFrame:
+    ranged.sortWithinPartitions("token", "doc_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").parquet(path)
+    return ranged.sparkSession.read.schema(ranged.schema).parquet(path)
 
 
 def write(rows: DataFrame, path: str) -> DataFrame:
