@@ -30,7 +30,7 @@ CATEGORIES = (
 
 def words(text: Column, letters: str = LETTERS) -> Column:
     """Maximal runs of letters, in order, case kept."""
-    return F.regexp_extract_all(text, F.lit(f"([{letters}]+)"), F.lit(1))
+    return F.array_remove(F.split(text, f"[^{letters}]+"), "")
 
 
 def symbols(text: Column) -> Column:

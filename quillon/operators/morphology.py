@@ -125,6 +125,11 @@ def analyze(words: DataFrame, morph: Dictionary) -> DataFrame:
     )
 
 
+def known_words(morph: Dictionary) -> DataFrame:
+    """The distinct words (word) that the dictionary can analyse, as many as its bases and suffixes make."""
+    return morph.bases.join(morph.suffixes, "line_id").select(F.concat("base", "suffix").alias("word")).distinct()
+
+
 def main_forms(words: DataFrame, morph: Dictionary) -> DataFrame:
     """Per distinct word: whether it is a stop word, and its main forms, equal ones kept; unknown words are their own."""
     found = analyze(words, morph)

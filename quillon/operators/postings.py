@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators.morphology import Dictionary, main_forms
-from quillon.runtime import running_sum
+from quillon.operators.morphology import Dictionary, known_words, main_forms
+from quillon.runtime import Scratch, running_sum
 
 _DATE = r"\$[A-Za-z_]+:[0-9]{4}-[0-9]{2}-[0-9]{2}"
 #: The letters of the Russian profile; ё stands apart from the range а-я.
@@ -160,7 +160,17 @@ def _write_sorted(ranged: DataFrame, path: str) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> DataFrame:
-    """Postings as token-ranged, sorted Parquet, so that a token or prefix reads few row groups; returns them read back."""
-    ranged = rows.repartitionByRange("token").sortWithinPartitions("token", "doc_id")
-    ranged.write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """Postings as token-ranged, sorted Parquet, so that a token or prefix reads few row groups; returns them read back.
+
+    Rows are written as they come first: ranges are then found and counted in them, and no text is read twice.
+    """
+    scratch = Scratch(rows.sparkSession, "postings")
+    held = scratch.table(rows, "rows")
+    out = _write_sorted(_ranged(held), path)
+    scratch.drop(held)
+    return out
+
+
+def compacted(runs: list[DataFrame], path: str) -> DataFrame:
+    """Written runs merged and written as one, in one pass: equal rows meet in the range they are sorted in."""
+    return _write_sorted(_ranged(_whole(tuple(runs))).distinct(), path)

@@ -22,3 +22,21 @@ def test_date_bits_are_made_after_the_exchange(spark):
         want |= {(doc, f"{name}{i:02d}") for i in range(64) if bits >> i & 1} | {(doc, f"{name}64")}
     held = [tuple(r) for r in got.collect()]
     assert len(held) == len(set(held)) and set(held) == want
+
+
+def test_writing_postings_reads_texts_once_and_cuts_a_frequent_token(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+
+    def count(batches):
+        for batch in batches:
+            with open(seen, "a") as out:
+                out.write("x" * batch.num_rows)
+            yield batch
+
+    rows = spark.range(400).coalesce(1).selectExpr("'^the$' as token", "id as doc_id").mapInArrow(count, "token string, doc_id long")
+    monkeypatch.setattr(P, "ROWS", 25)
+    written = P.write(rows, f"file://{tmp_path}/written")
+    assert len(seen.read_text()) == 400, "neither a sampling nor a second pass over the texts"
+    files = written.withColumn("file", F.input_file_name()).groupBy("file").count().collect()
+    assert len(files) >= 12 and max(r["count"] for r in files) <= 100
+    assert written.count() == 400 == written.distinct().count()
