@@ -148,8 +148,8 @@ def date_bits(dates: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.concat("name", "digits").alias("token"))
 
 
-def _ranged(rows: DataFrame) -> DataFrame:
-    """Written rows by ranges of token and doc_id of about ROWS rows, so neither more rows nor a frequent token make a larger task."""
+def parts(rows: DataFrame) -> int:
+    """How many tasks written rows are dealt to, about ROWS each at most; their number comes from the files' footers."""
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(max(1, least, math.ceil(rows.count() / ROWS)), "token", "doc_id")
 

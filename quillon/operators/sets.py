@@ -144,10 +144,16 @@ def to_text(ids: DataFrame) -> DataFrame:
     return ids.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_set("doc_id")), ","), F.lit("}")).alias("text"))
 
 
-def packed(ids: DataFrame, *keys: str) -> DataFrame:
-    """One bitmap per key and bucket of 32768 ids: keys, bucket, bits."""
+def packed(ids: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """One bitmap per key and bucket of 32768 ids: keys, bucket, bits.
+
+    Ids and not bitmaps are sent, as most keys have few ids a bucket; each task then holds one bitmap at a time and sorts its
+    share of the ids. `parts` tells the number of tasks where that of the session may be too small.
+    """
     bucket = F.bitmap_bucket_number(F.col("doc_id") + 1).alias("bucket")
-    return ids.groupBy(*keys, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("doc_id") + 1)).alias("bits"))
+    placed = ids.select(*keys, bucket, F.bitmap_bit_position(F.col("doc_id") + 1).alias("_bit"))
+    placed = placed.repartition(*([parts] if parts else []), *keys, "bucket")
+    return placed.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("_bit").alias("bits"))
 
 
 def packed_union(bitmaps: DataFrame, *keys: str) -> DataFrame:
@@ -168,8 +174,9 @@ def packed_count(bitmaps: DataFrame, *keys: str) -> DataFrame:
 
 def unpacked(bitmaps: DataFrame, *keys: str) -> DataFrame:
     """The ids of packed sets."""
-    byte = F.conv(F.substring(F.hex("bits"), F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    each = bitmaps.select(*keys, "bucket", "bits", F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("at"))
+    byte = F.conv(F.substring(F.col("hex"), F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    told = bitmaps.select(*keys, "bucket", F.hex("bits").alias("hex"), F.octet_length("bits").alias("n"))
+    each = told.select(*keys, "bucket", "hex", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     bits = each.select(*keys, "bucket", "at", byte.alias("byte")).filter("byte > 0").select(*keys, "bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
     held = bits.filter(F.expr("shiftright(byte, bit) & 1") == 1)
     return held.select(*keys, ((F.col("bucket") - 1) * BUCKET + F.col("at") * 8 + F.col("bit")).cast("long").alias("doc_id"))

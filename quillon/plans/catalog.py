@@ -492,7 +492,8 @@ def set_contains(spark, sf_dir):
 
 @_query(f"WITH {_POST} SELECT token, count(*) AS cardinality FROM post GROUP BY token")
 def bitmap_cardinality(spark, sf_dir):
-    return sets.packed_count(sets.packed(_stored_postings(spark, sf_dir), "token"), "token")
+    rows = _stored_postings(spark, sf_dir)
+    return sets.packed_count(sets.packed(rows, "token", parts=P.parts(rows)), "token")
 
 
 # --- text scalars --------------------------------------------------------------------------------------------------------

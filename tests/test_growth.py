@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quillon.operators import postings as P
+from quillon.operators import sets
 
 
 def plan(df):
@@ -40,3 +41,11 @@ def test_writing_postings_reads_texts_once_and_cuts_a_frequent_token(spark, tmp_
     files = written.withColumn("file", F.input_file_name()).groupBy("file").count().collect()
     assert len(files) >= 12 and max(r["count"] for r in files) <= 100
     assert written.count() == 400 == written.distinct().count()
+
+
+def test_ids_and_not_bitmaps_are_sent(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 70_000), ("b", 1), ("b", 1), ("b", 2)], "token string, doc_id long")
+    got = sets.packed(rows, "token", parts=3)
+    assert plan(got).rindex("bitmap_construct_agg") < plan(got).index("Exchange")
+    assert sorted(tuple(r) for r in sets.packed_count(got, "token").collect()) == [("a", 2), ("b", 2)]
+    assert sorted(tuple(r) for r in sets.unpacked(got, "token").collect()) == [("a", 1), ("a", 70_000), ("b", 1), ("b", 2)]
