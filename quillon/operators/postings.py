@@ -100,8 +100,18 @@ def postings(docs: DataFrame, profile: Profile = Profile(), config: IndexConfig
     return words.select(F.explode("forms").alias("form"), "doc_id").select(mark(F.col("form")).alias("token"), "doc_id").distinct()
 
 
-def merged(*runs: DataFrame) -> DataFrame:
-    """Written runs of postings as one: the ids of a token are the union of its ids in all runs."""
+def _with_forms(words: DataFrame, profile: Profile) -> DataFrame:
+    """words (doc_id, word) with stop and forms. What a dictionary of up to FEW words says of them goes to every task."""
+    known = known_words(profile.morph)
+    if known.limit(FEW + 1).count() > FEW:
+        return words.join(forms_of(words, profile), "word")
+    told = Scratch(words.sparkSession, "forms").table(forms_of(known, profile), "forms")
+    stop = F.col("word").isin(*profile.stop_words) if profile.stop_words else F.lit(False)
+    forms = F.when(stop, F.array().cast("array<string>")).otherwise(F.coalesce("forms", F.array("word")))
+    return words.join(F.broadcast(told), "word", "left").select("doc_id", "word", F.coalesce("stop", stop).alias("stop"), forms.alias("forms"))
+
+
+def _whole(runs: tuple[DataFrame, ...]) -> DataFrame:
     whole = runs[0]
     for run in runs[1:]:
         whole = whole.unionByName(run)

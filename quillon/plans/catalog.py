@@ -319,7 +319,7 @@ def index_compact(spark, sf_dir):
     """Two overlapping runs of postings, each written, merged and written as one."""
     docs, scratch = _docs(spark, sf_dir), Scratch(spark, "index")
     runs = [P.write(P.postings(docs.filter(half)), scratch.path("run")) for half in ("doc_id % 3 < 2", "doc_id % 3 > 0")]
-    return P.write(P.merged(*runs), scratch.path("merged")).groupBy("token").agg(F.count("*").alias("docs"))
+    return P.compacted(runs, scratch.path("merged")).groupBy("token").agg(F.count("*").alias("docs"))
 
 
 @_query(

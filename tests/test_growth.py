@@ -49,3 +49,15 @@ def test_ids_and_not_bitmaps_are_sent(spark):
     assert plan(got).rindex("bitmap_construct_agg") < plan(got).index("Exchange")
     assert sorted(tuple(r) for r in sets.packed_count(got, "token").collect()) == [("a", 2), ("b", 2)]
     assert sorted(tuple(r) for r in sets.unpacked(got, "token").collect()) == [("a", 1), ("a", 70_000), ("b", 1), ("b", 2)]
+
+
+def test_merged_runs_are_compared_where_they_are_sorted(spark, tmp_path, monkeypatch):
+    run = spark.range(300).selectExpr("'^the$' as token", "id as doc_id")
+    runs = [P.write(run, f"file://{tmp_path}/a"), P.write(run.filter("doc_id > 99"), f"file://{tmp_path}/b")]
+    monkeypatch.setattr(P, "ROWS", 25)
+    out = P.compacted(runs, f"file://{tmp_path}/out")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
+    assert len(out.withColumn("file", F.input_file_name()).select("file").distinct().collect()) >= 12
+    # From the top: both halves of the comparison come before the exchange, so no task compares what a file happens to hold.
+    text = plan(P.merged(*runs))
+    assert text.rindex("HashAggregate") < text.index("Exchange")
