@@ -90,6 +90,13 @@ def kgrams(word: Column, most: int) -> Column:
     return F.when(top >= 3, grams).when(word.isNotNull(), F.array().cast("array<string>"))
 
 
+def distinct_kgrams(words: Column, most: int) -> Column:
+    """The distinct k-grams of some lower-case words, as kgrams() gives them; no word holds a line break."""
+    marked = F.concat(F.lit("^"), F.array_join(words, "$\n^"), F.lit("$"))
+    grams = [F.regexp_extract_all(marked, F.lit(rf"(?=([^\n]{{{k}}}))[^\n]"), F.lit(1)) for k in range(3, most + 1)]
+    return F.when(F.size(words) > 0, F.array_distinct(F.concat(F.array().cast("array<string>"), *grams))).when(words.isNotNull(), F.array().cast("array<string>"))
+
+
 def filtered(items: Column, keep, change=lambda x: x) -> Column:
     """Drop items by a predicate, change the others."""
     return F.transform(F.filter(items, keep), change)

@@ -87,9 +87,8 @@ def postings(docs: DataFrame, profile: Profile = Profile(), config: IndexConfig
     found = F.array_distinct(T.words(T.lower(body(F.col("text"))), profile.letters))
     kept = F.filter(found, lambda w: ~w.isin(*profile.stop_words)) if profile.stop_words else found
     if profile.morph is None:
-        grams = lambda w: T.kgrams(w, config.kgram)
         if config.kgram:
-            tokens = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(kept, grams)))).alias("token"), "doc_id")
+            tokens = docs.select(F.explode(T.distinct_kgrams(kept, config.kgram)).alias("token"), "doc_id")
         else:
             tokens = docs.select(F.explode(kept).alias("word"), "doc_id").select(mark(F.col("word")).alias("token"), "doc_id")
         return tokens.distinct() if _ids_repeat(docs) else tokens

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
 from quillon.operators import postings as P
 from quillon.operators import sets
 
@@ -61,3 +62,14 @@ def test_merged_runs_are_compared_where_they_are_sorted(spark, tmp_path, monkeyp
     # From the top: both halves of the comparison come before the exchange, so no task compares what a file happens to hold.
     text = plan(P.merged(*runs))
     assert text.rindex("HashAggregate") < text.index("Exchange")
+
+
+def test_kgrams_of_a_text_at_once(spark):
+    words = [["ab", "𝒳a", "щщщщ", "aaaaaa"], ["x"], [], None]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, words array<string>")
+    for most in (3, 4, 5):
+        one = F.array_distinct(F.flatten(F.transform("words", lambda w: T.kgrams(w, most))))
+        for r in rows.select(T.distinct_kgrams(F.col("words"), most).alias("got"), one.alias("want")).collect():
+            assert (r["got"] is None and r["want"] is None) or sorted(r["got"]) == sorted(r["want"])
+    docs = spark.createDataFrame([(1, "Ab cd ab")], "doc_id long, text string")
+    assert "lambda" not in plan(P.postings(docs, config=P.IndexConfig(kgram=4)))
