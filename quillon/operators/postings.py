@@ -93,10 +93,10 @@ def postings(docs: DataFrame, profile: Profile = Profile(), config: IndexConfig
             tokens = docs.select(F.explode(kept).alias("word"), "doc_id").select(mark(F.col("word")).alias("token"), "doc_id")
         return tokens.distinct() if _ids_repeat(docs) else tokens
     words = docs.select("doc_id", F.explode(found).alias("word"))
-    words = words.join(forms_of(words, profile), "word").filter("not stop")
+    words = _with_forms(words, profile).filter("not stop")
     if config.kgram:
         return words.select(F.explode(T.kgrams(F.col("word"), config.kgram)).alias("token"), "doc_id").distinct()
-    return words.select(F.explode("forms").alias("form"), "doc_id").select(mark(F.col("form")).alias("token"), "doc_id").distinct()
+    return words.select(F.explode("forms").alias("form"), "doc_id").repartition("doc_id").distinct().select(mark(F.col("form")).alias("token"), "doc_id")
 
 
 def _with_forms(words: DataFrame, profile: Profile) -> DataFrame:
@@ -114,7 +114,15 @@ def _whole(runs: tuple[DataFrame, ...]) -> DataFrame:
     whole = runs[0]
     for run in runs[1:]:
         whole = whole.unionByName(run)
-    return whole.select("token", "doc_id").distinct()
+    return whole.select("token", "doc_id")
+
+
+def merged(*runs: DataFrame) -> DataFrame:
+    """Written runs of postings as one: the ids of a token are the union of its ids in all runs.
+
+    Rows are sent before they are compared: a small file of a run may hold more of them than a task's memory.
+    """
+    return _whole(runs).repartition("token", "doc_id").distinct()
 
 
 def dictionary(tokens: DataFrame) -> DataFrame:
@@ -160,7 +168,12 @@ def date_bits(dates: DataFrame) -> DataFrame:
 def parts(rows: DataFrame) -> int:
     """How many tasks written rows are dealt to, about ROWS each at most; their number comes from the files' footers."""
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(max(1, least, math.ceil(rows.count() / ROWS)), "token", "doc_id")
+    return max(1, least, math.ceil(rows.count() / ROWS))
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Written rows by ranges of token and doc_id, so neither more rows nor a frequent token make a larger task."""
+    return rows.repartitionByRange(parts(rows), "token", "doc_id")
 
 
 def _write_sorted(ranged: DataFrame, path: str) -> DataFrame:

@@ -5,8 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import morphology, sets
 from quillon.operators import postings as P
-from quillon.operators import sets
 
 
 def plan(df):
@@ -73,3 +73,15 @@ def test_kgrams_of_a_text_at_once(spark):
             assert (r["got"] is None and r["want"] is None) or sorted(r["got"]) == sorted(r["want"])
     docs = spark.createDataFrame([(1, "Ab cd ab")], "doc_id long, text string")
     assert "lambda" not in plan(P.postings(docs, config=P.IndexConfig(kgram=4)))
+
+
+def test_a_small_dictionary_is_sent_to_the_words(spark, monkeypatch):
+    bases = [(1, 0, "cat", "cat"), (2, 1, "the", "the"), (3, 0, "ox", "ox"), (4, 0, "o", "oak")]
+    morph = morphology.dictionary(spark, "en", bases, [(0, 0, "", 1), (0, 1, "s", 1), (0, 2, "x", 1), (1, 0, "", 14)])
+    docs = spark.createDataFrame([(1, "The cat, cats and ox oak"), (2, "the"), (3, None), (4, "dog xyz")], "doc_id long, text string")
+    for profile in (P.Profile(morph=morph), P.Profile(morph=morph, stop_words=frozenset({"dog", "cats"}))):
+        got = P.postings(docs, profile)
+        assert plan(got).count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan(got)
+        with monkeypatch.context() as m:
+            m.setattr(P, "FEW", 0)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.postings(docs, profile).collect()))
