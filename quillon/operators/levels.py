@@ -5,8 +5,8 @@ range, versions and bytes. Every flush adds one run of versions and moves tables
 
 simple    A level holds `trigger - 1` tables of any size; a full level is merged with what comes in and goes one level down.
 leveled   A level is merged whole with what comes in, and goes down when that outgrows the level's capacity.
-granular  What comes in is dealt by key to the tables of the level; only tables that get rows are rewritten, and those that
-          find no room go down.
+granular  What comes in is dealt by key to the tables of the level; only tables that get rows are rewritten, and the rows of
+          those that find no room go down and are written where they stay.
 
 Reads take the tables whose key range meets theirs, then the newest version by key, as for any log. All tables of a leveled or
 granular level are disjoint, and all versions of a key on such a level are in one table.
@@ -21,9 +21,11 @@ changes nothing. A flush that fails before its manifest is written leaves the st
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ from quillon.operators import kv
 from quillon.runtime import Scratch, delete, exists, running_sum
 
 COLUMNS = ("key", "seq", "op", "value")
+#: A task writes about so many bytes: one table, or many small ones.
+TASK_BYTES = 32 << 20
+#: So many table ends are compared one by one; more are sorted with the rows.
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -64,6 +70,9 @@ def located(rows: DataFrame, ends: list, name: str) -> DataFrame:
     """rows with the number of `ends` below their key, as column `name`: the place of the table that takes the row."""
     if not ends:
         return rows.withColumn(name, F.lit(0).cast("long"))
+    if len(ends) <= FEW:
+        below = [(F.col("key") > F.lit(e).cast(rows.schema["key"].dataType)).cast("long") for e in ends]
+        return rows.withColumn(name, functools.reduce(operator.add, below))
     kind = t.StructType([t.StructField("key", rows.schema["key"].dataType)])
     marks = rows.sparkSession.createDataFrame([(e,) for e in ends], kind).withColumn("_mark", F.lit(1))
     both = rows.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
@@ -132,8 +141,11 @@ class Store:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).format(self.form).load([x.path for x in tables])
 
-    def _cuts(self, rows: DataFrame, whole: bool = False) -> list:
-        """Key ranges of about `max_table_bytes`, none across two values of `_group`; with `whole`, one range."""
+    def _cuts(self, rows: DataFrame, whole: bool = False, most: int | None = None) -> list:
+        """Key ranges of about `max_table_bytes`, none across two values of `_group`; with `whole`, one range.
+
+        With `most`, only the first so many ranges in key order reach the driver.
+        """
         keys = rows.groupBy("_group", "key").agg(F.sum(_size()).alias("bytes"), F.count("*").alias("versions"))
         if whole:
             cut = keys.withColumn("piece", F.lit(0))
@@ -144,6 +156,8 @@ class Store:
         ranges = cut.groupBy("_group", "piece").agg(
             F.min("key").alias("low"), F.max("key").alias("high"), F.sum("versions").alias("versions"), F.sum("bytes").alias("bytes")
         )
+        if most is not None:
+            ranges = ranges.orderBy("_group", "piece").limit(most)
         return sorted(ranges.collect(), key=lambda r: (r["_group"], r["piece"]))
 
     def _write(self, rows: DataFrame, cuts: list, level: int) -> list[Table]:
@@ -151,7 +165,7 @@ class Store:
         root = f"{self.path}/data/{uuid.uuid4().hex}"
         size = sum(r["bytes"] for r in cuts)
         placed = located(rows.select(*COLUMNS), [_plain(r["high"]) for r in cuts[:-1]], "table")
-        ranged = placed.repartitionByRange(max(1, math.ceil(size / self.levels.max_table_bytes)), "table", "key", "seq")
+        ranged = placed.repartitionByRange(max(1, math.ceil(size / max(self.levels.max_table_bytes, TASK_BYTES))), "table", "key", "seq")
         writer = ranged.sortWithinPartitions("table", "key", F.desc("seq"), "op").write.partitionBy("table")
         writer.format(self.form).option("parquet.bloom.filter.enabled#key", "true").option("orc.bloom.filter.columns", "key").save(root)
         self.written[level] = self.written.get(level, 0) + size
@@ -189,19 +203,35 @@ class Store:
             level += 1
 
     def _granular(self, run: DataFrame) -> list[Table]:
+        """Each level keeps its first tables in key order; what lies above them is handed down unwritten, so rows are written once."""
         tables, level, carried = list(self.tables), 0, run
-        while carried is not None:
+        deepest = max((x.level for x in tables), default=-1)
+        while level <= deepest:
             held = self.at(level)
             ends = [x.max_key for x in held[:-1]]
-            dealt = located(carried.select("key").distinct(), ends, "_group").select("_group").distinct().collect() if held else []
+            keys = carried.select("key") if len(ends) <= FEW else carried.select("key").distinct()
+            dealt = located(keys, ends, "_group").select("_group").distinct().collect() if held else []
             touched = [held[r["_group"]] for r in dealt]
             whole = carried.unionByName(self._read(touched)) if touched else carried
-            new = self._write(whole, self._cuts(located(whole, ends, "_group")), level)
             room = self.levels.capacity(level) - 1 - (len(held) - len(touched))
+            cuts = self._cuts(located(whole, ends, "_group"), most=room + 1)
+            more, cuts = len(cuts) > room, cuts[:room]
             gone = {x.path for x in touched}
-            tables = [x for x in tables if x.path not in gone] + new[:room]
-            carried = self._read(new[room:]) if new[room:] else None
+            tables = [x for x in tables if x.path not in gone]
+            if cuts:
+                last = F.lit(cuts[-1]["high"])
+                tables += self._write(whole.filter(F.col("key") <= last) if more else whole, cuts, level)
+            if not more:
+                return tables
+            carried = whole.filter(F.col("key") > last) if cuts else whole
             level += 1
+        # Below lie empty levels: one write makes the tables of all of them.
+        new, at = self._write(carried, self._cuts(carried.withColumn("_group", F.lit(0))), level), 0
+        self.written[level] -= sum(x.bytes for x in new)
+        while at < len(new):
+            kept = [replace(x, level=level) for x in new[at : at + self.levels.capacity(level) - 1]]
+            self.written[level] = self.written.get(level, 0) + sum(x.bytes for x in kept)
+            tables, at, level = tables + kept, at + len(kept), level + 1
         return tables
 
     def squash(self, snapshots: tuple[int, ...] = ()) -> Store:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillon.operators import kv
+from quillon.operators import kv, levels
 from quillon.operators.levels import Store, located
 
 
@@ -122,3 +122,28 @@ def test_tables_of_another_source(spark, tmp_path):
         held.flush(run_of(spark, rows))
     again = Store(spark, f"file://{tmp_path}/orc", value="string", levels=levels, form="orc")
     assert pairs(again.scan()) == state(runs[0] + runs[1], 100)
+
+
+def test_many_ends_are_counted_as_few(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, s) for k in range(10) for s in range(3)], "key int, seq long")
+    counts = lambda: {r["key"]: r["n"] for r in located(rows, [2, 5, 9], "n").collect()}
+    few = counts()
+    monkeypatch.setattr(levels, "FEW", 2)
+    assert counts() == few
+
+
+def test_granular_writes_rows_where_they_stay(spark, tmp_path):
+    """A flush into an empty store writes each row once and not once for each level it passes."""
+    held = store(spark, tmp_path, "granular", size=100)
+    rows = [(bytes([i]), i + 1, 0, "x" * 20) for i in range(60)]
+    held.flush(run_of(spark, rows))
+    assert max(x.level for x in held.tables) >= 3
+    assert sum(held.written.values()) == sum(x.bytes for x in held.tables)
+    assert all(held.written[i] == sum(x.bytes for x in held.at(i)) and len(held.at(i)) < held.levels.capacity(i) for i in held.written)
+    more = [(bytes([i]), 100 + i, 0, "y" * 20) for i in range(0, 60, 3)]
+    held.written.clear()
+    held.flush(run_of(spark, more))
+    assert sum(held.written.values()) <= sum(x.bytes for x in held.tables)
+    assert held.log().count() == 80 and pairs(held.scan()) == state([(k, s, o, v) for k, s, o, v in rows + more], 200)
+    for i in {x.level for x in held.tables}:
+        assert len(held.at(i)) < held.levels.capacity(i) and all(a.max_key < b.min_key for a, b in zip(held.at(i), held.at(i)[1:]))
